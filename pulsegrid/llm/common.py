@@ -60,3 +60,8 @@ def unit_hash(*cols: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once: inside a lambda an expression would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)

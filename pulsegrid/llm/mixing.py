@@ -43,14 +43,14 @@ def targets(per_source: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float
     return t.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * F.col("open_level")), F.col("cap"))).select("source", "source_size", "weight", "slope", "target")
 
 
-def mix(docs: DataFrame, size_col: str = "size", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, share: float = 1.5, max_epochs: float = 2.0, rows_per_bucket: int = 4000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, size_col: str = "size", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, share: float = 1.5, max_epochs: float = 2.0, rows_per_bucket: int = 4000, least_buckets: int = 256, seed: int = 17) -> DataFrame:
     """A row per document: row (struct of its columns), size, source_size, target, slope, start (words of its source before it), taken.
 
     `taken` counts words over all passes: the mix reads a source's stream again and again until its target, rounded to
     whole words, is reached, so a source's sum of `taken` is its target but for rounding.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("source"), docs[id_col].alias("id"), docs[size_col].cast("long").alias("size"))
-    n = max(1, math.ceil(docs.count() / rows_per_bucket))
+    n = max(least_buckets, math.ceil(docs.count() / rows_per_bucket))
     rows = rows.withColumn("key", F.xxhash64("id", "size", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n)))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, slopes, share, max_epochs)
