@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, documents, drop_cut
+from .common import LOWER, UPPER, cut, documents
 
 FIRST_WIDTH, WIDER, WIDEST = 64, 4, 1 << 20
 
@@ -36,26 +36,25 @@ def lower_ascii(text: Column) -> Column:
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, first_width: int = FIRST_WIDTH) -> DataFrame:
     """A row per row of docs: row (struct of the columns in `carry`, all by default), id, keep_id, group_size, kept."""
     carry = docs.columns if carry is None else carry
-    todo = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[id_col].alias("id"), F.monotonically_increasing_id().alias("uid"), lower_ascii(docs[text_col]).cast("binary").alias("rest"), F.lit(0).cast("long").alias("part"))
-    done, width, seen, held = [], first_width, 0, None
+    rest_of = F.struct(*[docs[c] for c in carry if c != text_col], F.lit(0).alias("none"))
+    todo = docs.select(rest_of.alias("row"), docs[text_col].alias("text"), docs[id_col].alias("id"), F.monotonically_increasing_id().alias("uid"), F.lit(0).cast("long").alias("part"))
+    done, at, width = [], 0, first_width
     while True:
-        # Groups go by their largest member's uid; uids are fixed by the files read.
-        split = todo.select("row", "id", "uid", "part", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        top = F.max(F.struct(F.col("id"), F.col("uid")))
-        parts = split.groupBy("part", "digit").agg(top.alias("top"), F.count("*").alias("n"))
+        # Parts go by their largest member's uid; uids are fixed by the files read.
+        split = todo.withColumn("digit", F.substring(lower_ascii(F.col("text")).cast("binary"), at + 1, width))
+        parts = split.groupBy("part", "digit").agg(F.max(F.struct(F.col("id"), F.col("uid"))).alias("top"), F.count("*").alias("n"))
         parts = parts.select(F.col("part").alias("p"), F.col("digit").alias("d"), "top", "n")
         rows = split.join(parts, (F.col("part") == F.col("p")) & (F.col("digit") == F.col("d")))
-        state = rows.select("row", "id", "uid", F.col("top.uid").alias("part"), "rest", F.col("top.id").alias("top_id"), "n", ((F.col("n") == 1) | (F.length("digit") < width)).alias("over"))
-        if seen:
-            state = cut(state)
-        else:
-            # What ends here, and what goes on without its ended part, are two outputs of one pass.
-            state = cut(state.withColumn("rest", F.when(~F.col("over"), F.col("rest"))))
-        done.append(state.filter("over").select("row", "id", F.col("top_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("uid") == F.col("part")).alias("kept")))
-        todo = state.filter("not over").select("row", "id", "uid", "part", "rest")
+        over = (F.col("n") == 1) | (F.length("digit") < width)
+        # A text that is not asked for is let go as soon as its part is done.
+        text = F.col("text") if text_col in carry else F.when(~over, F.col("text"))
+        state = cut(rows.select("row", text.alias("text"), "id", "uid", F.col("top.uid").alias("part"), F.col("top.id").alias("top_id"), "n", over.alias("over")))
+        row = F.struct(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in carry])
+        done.append(state.filter("over").select(row.alias("row"), "id", F.col("top_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("uid") == F.col("part")).alias("kept")))
+        todo = state.filter("not over").select("row", "text", "id", "uid", "part")
         if todo.isEmpty():
             return reduce(DataFrame.unionAll, done)
-        seen, width = seen + 1, min(width * WIDER, WIDEST)
+        at, width = at + width, min(width * WIDER, WIDEST)
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
