@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,19 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it again: what follows no longer depends on executors' local disks."""
-    path = f"{scratch_dir(df.sparkSession)}/pulsegrid/{uuid.uuid4().hex}"
+    """Writes df to the shared scratch folder and reads it again: what follows no longer depends on executors' local disks.
+
+    The shuffle files behind df are of no more use then, so the driver is asked to let them go.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{scratch_dir(spark)}/pulsegrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    made = spark.read.schema(schema).parquet(path)
+    made.scratch_path = path
+    return made
 
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table made by cut() that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1024) -> None:

@@ -15,6 +15,10 @@ rounds with other pivots; members that are by then in one component need no more
 that still lie in different components, and pass the length and position filters, are then formed and verified, so no
 link that joins two components is lost.
 
+Verification has two steps.  Prefixes come first: all common tokens up to the end of the prefix that ends earlier stand
+in both prefixes, so the overlap is at most the prefixes' common tokens and what follows the prefix.  Whole sets are
+made and shuffled for the pairs that pass only.
+
 Edge cases: null text counts as empty; a set without shingle is linked with nothing; a text of fewer words than a
 shingle is one shingle; a null id has no links and a null component; rows with equal ids are nodes by their texts and
 share the smaller component; an empty table gives an empty result; only id and text are looked at.
@@ -24,14 +28,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, documents
+from .common import arrow_batches, cut, documents, drop_cut
 
 FREQUENT = 1 << 16
 SMALL = 256
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,11 +89,14 @@ def node_of(tokens: np.ndarray) -> int:
         return int((a[0] + a[1] * np.uint64(0x2545F4914F6CDD1D)).astype(np.int64))
 
 
-def keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and each one's place in its token order.  frequent: sorted; order: their ranks, rare first."""
+NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+
+
+def keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set, each one's place in its token order, and its prefix.  frequent: sorted; order: their ranks, rare first."""
     n = len(tokens)
     if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return NO_KEYS
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
     rank = order[at[often]]
@@ -110,7 +117,7 @@ def keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: i
             out.append(mixed(tail[i] * np.uint64(3) + mixed(tail[j])))
             place.append(i + n_rare)
     h, first = np.unique(np.concatenate(out), return_index=True)
-    return h, np.concatenate(place)[first].astype(np.int32)
+    return h, np.concatenate(place)[first].astype(np.int32), np.sort(seq[:prefix])
 
 
 def frequent_tokens(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -139,24 +146,44 @@ def frequent_tokens(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.n
     return tokens[by], ranks[by]
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough."""
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def matched(pairs: DataFrame, sets: DataFrame, judge) -> DataFrame:
+    """Those of pairs (a, b) for which judge(set of a, n of a, set of b, n of b) holds.  sets: node, n, tokens."""
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                same = int((q[at] == p).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+            each = zip(*(b.column(i) for i in range(2, 6)))
+            keep = [judge(np.frombuffer(x.as_buffer(), np.uint64), n.as_py(), np.frombuffer(y.as_buffer(), np.uint64), m.as_py()) for x, n, y, m in each]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("nx")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("ny")), "b")
+    return two.select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, prefixes: DataFrame, texts, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar enough.  texts(pairs): sets of the nodes in them."""
+
+    def may(x, n, y, m):
+        return (common(x, y) + max(n - len(x), m - len(y))) * (100 + percent) >= percent * (n + m)
+
+    def are(x, n, y, m):
+        same = common(x, y)
+        return 100 * same >= percent * (len(x) + len(y) - same)
+
+    hopeful = cut(matched(pairs, prefixes, may))
+    sets = texts(hopeful)
+    links = cut(matched(hopeful, sets, are))
+    drop_cut(sets)
+    drop_cut(hopeful)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,27 +218,30 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
                 nodes = [node_of(s) for s in sets]
                 # A set that repeats in the batch, and a row without id, give no keys.
                 fresh = {n: i for i, n in reversed(list(enumerate(nodes))) if part.column(0)[i].is_valid}
-                found = [keys(s, frequent, order, percent, small) if fresh.get(n) == i else (np.zeros(0, np.uint64), np.zeros(0, np.int32)) for i, (s, n) in enumerate(zip(sets, nodes))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0].astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["doc_id", "node", "n", "keys", "places"])
+                found = [keys(s, frequent, order, percent, small) if fresh.get(n) == i else NO_KEYS for i, (s, n) in enumerate(zip(sets, nodes))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0].astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2].tobytes() for f in found], pa.binary())], ["doc_id", "node", "n", "keys", "places", "prefix"])
 
-    indexed = cut(d.mapInArrow(index, "doc_id long, node long, n long, keys array<long>, places array<int>"))
-    of = indexed.select("doc_id", "node", "n")
-    postings = indexed.select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", F.col("k.places").alias("place"))
+    indexed = cut(d.mapInArrow(index, "doc_id long, node long, n long, keys array<long>, places array<int>, prefix binary"))
+    of = cut(indexed.select("doc_id", "node", "n"))
+    nodes = cut(indexed.filter(F.size("keys") > 0).groupBy("node").agg(F.first(F.struct("n", "keys", "places", "prefix")).alias("one")).select("node", "one.*"))
+    drop_cut(indexed)
     # One row per key and node; keys with one node are of no use.
-    postings = postings.groupBy("key", "node").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    lists = cut(postings.join(shared, "key").select("key", "node", "n", "place"))
-    wanted = lists.select("node").distinct()
-    reps = of.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    sources = wanted.join(reps, "node").select("doc_id").distinct()
+    postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", F.col("k.places").alias("place"))
+    lists = cut(postings.withColumn("members", F.count("*").over(Window.partitionBy("key"))).filter("members > 1").drop("members"))
+    prefixes = nodes.select("node", "n", F.col("prefix").alias("tokens"))
+    reps = of.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def tokens(batches):
         powers = Powers()
         for b in batches:
             sets = [shingles(t, k, powers) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
+
+    def texts(pairs):
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sources = wanted.join(reps, "node").select("doc_id")
+        return cut(d.join(sources, "doc_id", "left_semi").select("text").mapInArrow(tokens, "node long, n long, tokens binary"))
 
-    sets = cut(d.join(sources, "doc_id", "left_semi").select("text").mapInArrow(tokens, "node long, tokens binary").dropDuplicates(["node"]))
     comp = None
     lengths = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     links = None
@@ -233,8 +263,8 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
             least = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
             reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
             met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m")) & (reach >= least)).select(F.col("node").alias("a"), "b")
-        found = verify(met.distinct(), sets, percent)
-        links = cut(found if links is None else links.unionAll(found))
+        found = verify(met.distinct(), prefixes, texts, percent)
+        links = found if links is None else cut(links.unionAll(found))
         if not links.isEmpty():
             comp = components(links)
         elif comp is None:
