@@ -9,8 +9,9 @@ from .jaccard import op8_jaccard_join
 from .langid import op2_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op1_mixing
+from .pii import op7_pii
 from .quality import op9_quality
 from .secrets import op4_secrets
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_language_id, op3_fingerprint, op4_secrets, op5_exact_dedup, op6_bpe, op8_jaccard_join, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_language_id, op3_fingerprint, op4_secrets, op5_exact_dedup, op6_bpe, op7_pii, op8_jaccard_join, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
