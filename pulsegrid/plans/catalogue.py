@@ -2,5 +2,307 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import wave
+from ..operators import clusters, histogram, pairs, peaks, timeops
+from .views import HITS, INTERVALS, RECORDS, hits, intervals, records, table
+
+GAP, WINDOW, CAP = 60_000_000, 300_000_000, 900_000_000
+DRIFT = 600_000_000
+T0, T1 = 5 * 86_400_000_000, 9 * 86_400_000_000
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def island_sql(gap: int, keys: str = "") -> str:
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""WITH {HITS}, p AS (SELECT *, max("end") OVER ({part} ORDER BY "start", hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM hits),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR "start" - prev > {gap} THEN 1 ELSE 0 END) OVER ({part} ORDER BY "start", hit_id) - 1 AS island FROM p)"""
+
+
+# ---- clusters
+
+@query(island_sql(GAP) + """ SELECT CAST(island AS BIGINT) AS island, min("start") AS time_start, max("end") AS time_end, count(*) AS n_hits,
+ count(DISTINCT (board, channel)) AS n_channels, CAST(sum(area) AS BIGINT) AS area, (min("start") + max("end")) // 2 AS center_time FROM i GROUP BY island""")
+def hit_grouped(spark, sf_dir):
+    return clusters.summary(clusters.islands(hits(spark, sf_dir), GAP), ["island"])
+
+
+@query(island_sql(GAP, "board, channel") + """ SELECT board, channel, CAST(island AS BIGINT) AS island, count(*) AS n_hits, min("start") AS time_start, max("end") AS time_end
+ FROM i GROUP BY board, channel, island""")
+def hit_clusters_by_channel(spark, sf_dir):
+    c = clusters.islands(hits(spark, sf_dir), GAP, ["board", "channel"])
+    return c.groupBy("board", "channel", "island").agg(F.count("*").alias("n_hits"), F.min("start").alias("time_start"), F.max("end").alias("time_end"))
+
+
+@query()
+def hit_merged(spark, sf_dir):
+    """Gap and width rule per channel: a row per merged hit with its anchor, the member nearest to the middle."""
+    keys = ["board", "channel", "island", "part"]
+    c = clusters.greedy(hits(spark, sf_dir), GAP, CAP, ["board", "channel"])
+    ends = c.groupBy(*keys).agg(F.min("start").alias("time_start"), F.max("end").alias("time_end"), F.count("*").alias("component_count"))
+    near = F.struct(F.abs(F.col("start") + F.col("end") - F.col("time_start") - F.col("time_end")), F.col("start"), F.col("hit_id"))
+    return c.join(ends, keys).groupBy(*keys, "time_start", "time_end", "component_count").agg(F.min_by("hit_id", near).alias("anchor"))
+
+
+@query()
+def hit_merged_components(spark, sf_dir):
+    return clusters.greedy(hits(spark, sf_dir), GAP, CAP, ["board", "channel"]).select("board", "channel", "island", "part", "hit_id")
+
+
+@query()
+def peaklets(spark, sf_dir):
+    """Gap and width rule over all channels."""
+    return clusters.summary(clusters.greedy(hits(spark, sf_dir), GAP, CAP), ["island", "part"])
+
+
+@query()
+def df_events(spark, sf_dir):
+    h = hits(spark, sf_dir).withColumnRenamed("start", "t")
+    return clusters.event_rows(clusters.anchored(h, WINDOW), ["island", "part"])
+
+
+@query()
+def df_paired(spark, sf_dir):
+    e = df_events(spark, sf_dir).filter((F.col("dt") <= WINDOW) & (F.col("n_hits") >= 2))
+    return e.select("island", "part", "n_hits", (F.element_at("timestamps", -1) - F.element_at("timestamps", 1)).alias("delta_t"), F.get("areas", F.lit(0)).alias("area_ch6"), F.get("areas", F.lit(1)).alias("area_ch7"))
+
+
+@query(island_sql(GAP) + ', m AS (SELECT island, hit_id, "start", "start" - lag("start") OVER (PARTITION BY island ORDER BY "start", hit_id) AS dt_start_to_start, "start" - lag("end") OVER (PARTITION BY island ORDER BY "start", hit_id) AS dt_end_to_start FROM i) SELECT CAST(island AS BIGINT) AS island, hit_id, dt_start_to_start, dt_end_to_start FROM m')
+def hit_intervals(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("island").orderBy("start", "hit_id")
+    return clusters.islands(hits(spark, sf_dir), GAP).select("island", "hit_id", (F.col("start") - F.lag("start").over(w)).alias("dt_start_to_start"), (F.col("start") - F.lag("end").over(w)).alias("dt_end_to_start"))
+
+
+@query(island_sql(GAP) + ", g AS (SELECT CAST(island AS BIGINT) AS island, list_sort(list(hit_id)) AS ids FROM i GROUP BY island) SELECT island, array_to_string(ids, ',') AS hit_ids FROM g")
+def cluster_lookup(spark, sf_dir):
+    return clusters.islands(hits(spark, sf_dir), GAP).groupBy("island").agg(F.array_join(F.array_sort(F.collect_list("hit_id")).cast("array<string>"), ",").alias("hit_ids"))
+
+
+@query(island_sql(GAP) + """, c AS (SELECT CAST(island AS BIGINT) AS island, board, channel, CAST(sum(area) AS BIGINT) AS area, max(height) AS height, count(*) AS n_hits FROM i GROUP BY island, board, channel)
+SELECT *, CASE WHEN sum(area) OVER w = 0 THEN 0.0 ELSE area / sum(area) OVER w END AS area_fraction FROM c WINDOW w AS (PARTITION BY island)""")
+def peaklet_channels(spark, sf_dir):
+    return peaks.channel_areas(clusters.islands(hits(spark, sf_dir), GAP), "island")
+
+
+@query(island_sql(GAP) + """, e AS (SELECT CAST(island AS BIGINT) AS island, list_sort(list_distinct(list(channel))) AS channels FROM i GROUP BY island)
+SELECT island, len(channels) AS n_channels FROM e WHERE list_has_all(channels, [1, 3])""")
+def coincidence(spark, sf_dir):
+    e = clusters.islands(hits(spark, sf_dir), GAP).groupBy("island").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    return peaks.coincidence(e, [1, 3]).select("island", F.size("channels").cast("long").alias("n_channels"))
+
+
+@query(island_sql(GAP) + """, f AS (SELECT CAST(island AS BIGINT) AS island, channel, area, row_number() OVER (PARTITION BY island, channel ORDER BY hit_id) AS k FROM i)
+SELECT island, max(CASE WHEN channel = 1 THEN area END) AS area_1, max(CASE WHEN channel = 3 THEN area END) AS area_3 FROM f WHERE k = 1 GROUP BY island""")
+def channel_attributes(spark, sf_dir):
+    m = clusters.islands(hits(spark, sf_dir), GAP).groupBy("island").agg(F.array_sort(F.collect_list(F.struct("hit_id", "channel", "area"))).alias("m"))
+    return m.select("island", *[peaks.attribute(F.col("m.channel"), F.col("m.area"), c).alias(f"area_{c}") for c in (1, 3)])
+
+
+# ---- waveforms
+
+@query(f"""WITH {RECORDS} SELECT record_id, CAST(CASE WHEN positive THEN list_max(wave) ELSE -list_min(wave) END AS DOUBLE) AS height, CAST(list_max(wave) - list_min(wave) AS DOUBLE) AS amp,
+ CAST(CASE WHEN positive THEN list_sum(wave) ELSE -list_sum(wave) END AS DOUBLE) AS area,
+ CAST(list_max(list_transform(range(2, len(wave) + 1), lambda i: abs(wave[i] - wave[i - 1]))) AS DOUBLE) AS max_abs_diff FROM records""")
+def basic_features(spark, sf_dir):
+    f = wave.basic_features(F.col("wave"), F.col("baseline"), F.col("positive"))
+    return records(spark, sf_dir).select("record_id", *[c.alias(n) for n, c in f.items()])
+
+
+ASYM = "CASE WHEN positive THEN list_max(wave) ELSE -list_min(wave) END"
+
+
+@query(f"WITH {RECORDS} SELECT record_id, list_max(wave) > list_min(wave) AND {ASYM} > 0 AND {ASYM} <= list_max(wave) - list_min(wave) AND {ASYM} >= 0.5 * (list_max(wave) - list_min(wave)) AS keep FROM records")
+def records_asymmetry_mask(spark, sf_dir):
+    return records(spark, sf_dir).select("record_id", wave.asymmetry(F.col("wave"), F.col("baseline"), F.col("positive"), 0.5).alias("keep"))
+
+
+@query(f"WITH {RECORDS} SELECT record_id, channel NOT IN (2, 7) AND list_max(wave) > list_min(wave) AND {ASYM} > 0 AND {ASYM} <= list_max(wave) - list_min(wave) AND {ASYM} >= 0.5 * (list_max(wave) - list_min(wave)) AS keep FROM records")
+def records_detector_mask(spark, sf_dir):
+    r = records(spark, sf_dir)
+    config = spark.createDataFrame([(0, 2, "veto"), (1, 7, "veto")], "board int, channel int, role string")
+    return peaks.roles(r, config, "detector", wave.asymmetry(F.col("wave"), F.col("baseline"), F.col("positive"), 0.5)).select("record_id", "keep")
+
+
+@query(f"""WITH {RECORDS}, s AS (SELECT record_id, t, dt, len(wave) AS n, unnest(range(0, len(wave))) AS i, unnest(list_transform(wave, lambda x: CASE WHEN positive THEN x ELSE -x END)) >= 150 AS hot FROM records),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY record_id ORDER BY i) AS grp FROM s WHERE hot),
+r AS (SELECT record_id, min(t) AS t, min(dt) AS dt, min(n) AS n, min(i) AS s, max(i) + 1 AS e FROM g GROUP BY record_id, grp)
+SELECT record_id, (s + e - 1) // 2 AS position, greatest(0, s - 2) AS edge_start, least(n, e + 2) AS edge_end, t + ((s + e - 1) // 2) * dt * 1000 AS timestamp, least(n, e + 2) - greatest(0, s - 2) AS width FROM r""")
+def hit_threshold(spark, sf_dir):
+    return wave.threshold_hits(records(spark, sf_dir), 150)
+
+
+@query(f"""WITH {RECORDS}, s AS (SELECT record_id, unnest(range(0, len(wave))) AS i, unnest(list_transform(wave, lambda x: greatest(0, CASE WHEN positive THEN x ELSE -x END))) AS v FROM records),
+c AS (SELECT *, sum(v) OVER (PARTITION BY record_id ORDER BY i) AS acc, sum(v) OVER (PARTITION BY record_id) AS total FROM s)
+SELECT record_id, CAST(max(total) AS DOUBLE) AS q_total, min(CASE WHEN acc >= CAST(0.1 AS DOUBLE) * total THEN i END) AS t_low, min(CASE WHEN acc >= CAST(0.9 AS DOUBLE) * total THEN i END) AS t_high FROM c GROUP BY record_id""")
+def waveform_width_integral(spark, sf_dir):
+    w = records(spark, sf_dir).select("record_id", wave.width_integral(F.col("wave"), F.col("baseline"), F.col("positive")).alias("w"))
+    return w.select("record_id", F.col("w.total").alias("q_total"), "w.t_low", "w.t_high")
+
+
+@query(f"""WITH {RECORDS}, s AS (SELECT channel, unnest(range(0, len(wave))) AS i, unnest(list_transform(wave, lambda x: CASE WHEN positive THEN x ELSE -x END)) AS v FROM records)
+SELECT channel, i AS sample, CAST(sum(v) AS BIGINT) AS total FROM s GROUP BY channel, i""")
+def waveform_sum(spark, sf_dir):
+    x = records(spark, sf_dir).select("channel", F.posexplode(wave.signal(F.col("wave"), F.col("baseline"), F.col("positive"))).alias("sample", "v"))
+    return x.groupBy("channel", "sample").agg(F.sum("v").cast("long").alias("total"))
+
+
+# ---- time
+
+@query(f"WITH {INTERVALS} SELECT row_id, time, endtime FROM intervals WHERE time < {T1} AND endtime > {T0}")
+def time_select(spark, sf_dir):
+    return timeops.select_range(timeops.endtime(intervals(spark, sf_dir)), T0, T1).select("row_id", "time", "endtime")
+
+
+@query(f"WITH {INTERVALS} SELECT row_id, time, endtime FROM intervals WHERE time >= {T0} AND endtime <= {T1}")
+def time_select_strict(spark, sf_dir):
+    return timeops.select_range(timeops.endtime(intervals(spark, sf_dir)), T0, T1, True).select("row_id", "time", "endtime")
+
+
+@query(f"""WITH {INTERVALS}, a AS (SELECT *, greatest(0, CAST(ceil(({T0} - time) / dt) AS BIGINT)) AS skip FROM intervals), b AS (SELECT row_id, dt, time + skip * dt AS time, length - skip AS rest FROM a),
+c AS (SELECT row_id, dt, time, least(rest, CAST(floor(({T1} - time) / dt) AS BIGINT)) AS length FROM b) SELECT row_id, time, length, time + dt * length AS endtime FROM c WHERE length > 0""")
+def time_clip(spark, sf_dir):
+    return timeops.clip(intervals(spark, sf_dir), T0, T1).select("row_id", "time", "length", "endtime")
+
+
+@query(f"""WITH {INTERVALS}, p AS (SELECT *, max(endtime) OVER (ORDER BY time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM intervals),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR time - prev > {WINDOW} THEN 1 ELSE 0 END) OVER (ORDER BY time, row_id) - 1 AS segment FROM p)
+SELECT CAST(segment AS BIGINT) AS segment, count(*) AS n, min(time) AS t_min, max(endtime) AS t_max FROM s GROUP BY segment""")
+def split_by_breaks(spark, sf_dir):
+    s = timeops.breaks(timeops.endtime(intervals(spark, sf_dir)), WINDOW)
+    return s.groupBy("segment").agg(F.count("*").alias("n"), F.min("time").alias("t_min"), F.max("endtime").alias("t_max"))
+
+
+@query(f"""WITH {INTERVALS}, w AS (SELECT row_id, length, unnest(range(time // 3600000000, greatest(time // 3600000000, (endtime - 1) // 3600000000) + 1)) AS "window" FROM intervals)
+SELECT "window", count(*) AS n, CAST(sum(length) AS BIGINT) AS samples FROM w GROUP BY "window" """)
+def split_by_time(spark, sf_dir):
+    w = timeops.tumbling(timeops.endtime(intervals(spark, sf_dir)), 3_600_000_000, 0)
+    return w.groupBy("window").agg(F.count("*").alias("n"), F.sum("length").alias("samples"))
+
+
+@query(f"""WITH {INTERVALS}, c AS (SELECT *, time < lag(time) OVER (PARTITION BY channel ORDER BY row_id) AS back, endtime > lead(time) OVER (PARTITION BY channel ORDER BY time, row_id) AS lap FROM intervals)
+SELECT channel, count(*) AS n, count(*) FILTER (back) AS steps_back, count(*) FILTER (lap) AS overlaps, min(time) AS t_min, max(endtime) AS t_max FROM c GROUP BY channel""")
+def order_checks(spark, sf_dir):
+    return timeops.order_checks(timeops.endtime(intervals(spark, sf_dir)), ["channel"])
+
+
+@query(f"WITH {HITS} SELECT DISTINCT board, channel FROM hits")
+def distinct_channels(spark, sf_dir):
+    return hits(spark, sf_dir).select("board", "channel").distinct()
+
+
+# ---- peaks, pairs, events
+
+S1S2 = HITS + """, s1 AS (SELECT hit_id AS peak_id, "start" AS t, area FROM hits WHERE event_type = 'click'), s2 AS (SELECT hit_id AS peak_id, "start" AS t, area FROM hits WHERE event_type = 'purchase'),
+pairs AS (SELECT s1.peak_id AS s1_id, s2.peak_id AS s2_id, s2.t - s1.t AS drift, s1.area AS s1_area, s2.area AS s2_area FROM s1 JOIN s2 ON s2.t - s1.t BETWEEN 0 AND """ + str(DRIFT) + ")"
+
+
+def sides(spark, sf_dir):
+    h = hits(spark, sf_dir).withColumnsRenamed({"hit_id": "peak_id", "start": "t"})
+    return tuple(h.filter(F.col("event_type") == k).select("peak_id", "t", "area") for k in ("click", "purchase"))
+
+
+@query(f"""WITH {S1S2}, n AS (SELECT *, count(*) OVER (PARTITION BY s2_id) AS n_s1, count(*) OVER (PARTITION BY s1_id) AS n_s2 FROM pairs)
+SELECT s1_id, s2_id, drift, n_s1, n_s2, 2 + CASE WHEN n_s1 > 1 THEN 16 ELSE 0 END + CASE WHEN n_s2 > 1 THEN 32 ELSE 0 END AS flags FROM n""")
+def s1_s2_pair_candidates(spark, sf_dir):
+    return pairs.candidates(*sides(spark, sf_dir), DRIFT).select("s1_id", "s2_id", "drift", "n_s1", "n_s2", "flags")
+
+
+@query(f"""WITH {S1S2} SELECT peak_id AS s1_id, -1 AS s2_id, -1 AS drift, 128 AS flags FROM s1 WHERE peak_id NOT IN (SELECT s1_id FROM pairs)
+UNION ALL SELECT -1, peak_id, -1, 256 FROM s2 WHERE peak_id NOT IN (SELECT s2_id FROM pairs)""")
+def s1_s2_orphans(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    p = pairs.candidates(a, b, DRIFT)
+    return pairs.orphans(a, p, "s1").unionByName(pairs.orphans(b, p, "s2"))
+
+
+@query(f"""WITH {S1S2}, r AS (SELECT *, row_number() OVER (PARTITION BY s2_id ORDER BY s1_area DESC, s1_id) AS k FROM pairs)
+SELECT s1_id, s2_id, drift, s1_area, s2_area, row_number() OVER (PARTITION BY s1_id ORDER BY s1_area DESC, s2_id) AS rank_s1 FROM r WHERE k = 1""")
+def s1_s2_pairs(spark, sf_dir):
+    return pairs.select(pairs.candidates(*sides(spark, sf_dir), DRIFT)).select("s1_id", "s2_id", "drift", "s1_area", "s2_area", "rank_s1")
+
+
+@query(f"""WITH {S1S2}, r AS (SELECT *, row_number() OVER (PARTITION BY s2_id ORDER BY drift, s1_id) AS k FROM pairs) SELECT s1_id, s2_id, drift FROM r WHERE k = 1""")
+def s1_s2_pairs_nearest(spark, sf_dir):
+    return pairs.select(pairs.candidates(*sides(spark, sf_dir), DRIFT), "nearest").select("s1_id", "s2_id", "drift")
+
+
+SPECS = {"s1": {"accept": [{"width": (0, 20_000_000), "area": (0, 3000)}], "reject": [{"channel": (7, 7)}]}, "s2": {"accept": [{"width": (30_000_000, None), "area": (3000, None)}, {"channel": (2, 2)}]}}
+
+
+@query(f"""WITH {HITS}, p AS (SELECT *, "end" - "start" AS width FROM hits) SELECT hit_id, CASE WHEN width BETWEEN 0 AND 20000000 AND area BETWEEN 0 AND 3000 AND NOT channel = 7 THEN 1
+ WHEN (width >= 30000000 AND area >= 3000) OR channel = 2 THEN 2 ELSE 0 END AS label FROM p""")
+def peak_classification(spark, sf_dir):
+    return peaks.classify(hits(spark, sf_dir).withColumn("width", F.col("end") - F.col("start")), SPECS).select("hit_id", "label")
+
+
+def layout(spark):
+    """Eight sensors on two boards."""
+    return spark.createDataFrame([(c % 2, c, float(c % 3 - 1), float(c % 4 - 1), float(1 + c % 2)) for c in range(8)], "board long, channel long, x double, y double, gain double")
+
+
+LAYOUT = "layout AS (SELECT c % 2 AS board, c AS channel, CAST(c % 3 - 1 AS DOUBLE) AS x, CAST(c % 4 - 1 AS DOUBLE) AS y, CAST(1 + c % 2 AS DOUBLE) AS gain FROM range(8) t(c))"
+
+
+@query(f"WITH {HITS}, {LAYOUT}, " + island_sql(GAP).split("events),", 1)[1] + """, a AS (SELECT CAST(island AS BIGINT) AS island, board, channel, sum(area) AS area FROM i GROUP BY island, board, channel)
+SELECT island, round(sum(area / gain * x) / sum(area / gain), 9) AS x, round(sum(area / gain * y) / sum(area / gain), 9) AS y, count(*) AS n FROM a JOIN layout USING (board, channel) WHERE area > 0 GROUP BY island HAVING sum(area / gain) > 0""")
+def position_reconstruction(spark, sf_dir):
+    a = peaks.channel_areas(clusters.islands(hits(spark, sf_dir), GAP), "island")
+    return peaks.center_of_gravity(a, layout(spark), "island").select("island", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "n")
+
+
+@query(f"WITH {HITS}, {LAYOUT} SELECT hit_id, area / gain AS area_pe FROM hits JOIN layout USING (board, channel)")
+def pe_calibration(spark, sf_dir):
+    return peaks.calibrate(hits(spark, sf_dir), layout(spark).select("board", "channel", "gain")).select("hit_id", "area_pe")
+
+
+# ---- histograms and samples
+
+RANGES = {"l_quantity": (0.0, 50.0), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.08)}
+
+
+def bin_sql(c: str, lo: float, hi: float, n: int) -> str:
+    return f"CASE WHEN {c} BETWEEN CAST({lo} AS DOUBLE) AND CAST({hi} AS DOUBLE) THEN least({n - 1}, CAST(floor(({c} - CAST({lo} AS DOUBLE)) / CAST({(hi - lo) / n!r} AS DOUBLE)) AS INTEGER)) END"
+
+
+@query(f"SELECT {bin_sql('l_quantity', 0.0, 50.0, 20)} AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def histogram_1d(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(histogram.bin_of(F.col("l_quantity"), 0.0, 50.0, 20).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT " + ", ".join(f"{bin_sql(c, *r, 10)} AS {c}" for c, r in RANGES.items()) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, {x} AS xb, {y} AS yb, count(*) AS n FROM b WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {x}, {y}" for x, y in (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"))))
+def corner_histogram(spark, sf_dir):
+    return histogram.corner(table(spark, sf_dir, "lineitem"), RANGES, 10)
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT k, n, CASE WHEN n <= 4 THEN n ELSE least(n, 12, CAST(ceil(4 + 8 * (1 - exp(-(n - 4) / CAST(8 AS DOUBLE)))) AS BIGINT)) END AS size FROM b""")
+def adaptive_sample_count(spark, sf_dir):
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    return b.withColumn("size", histogram.sample_size(F.col("n")))
+
+
+@query()
+def stratified_sample(spark, sf_dir):
+    h = hits(spark, sf_dir).withColumn("x", F.col("area").cast("double"))
+    return histogram.stratified(h.withColumn("y", F.col("channel").cast("double")), "x", "y", (0.0, 10_000.0), (0.0, 8.0), 8, "hit_id").select("hit_id", "xb", "yb", "bin_n", "representative")
+
+
+@query(f"""WITH {HITS} SELECT hit_id, sqrt(CAST(board * board + channel * channel AS DOUBLE)) AS r, CAST(board * board + channel * channel AS BIGINT) AS r2 FROM hits""")
+def dashboard_frame(spark, sf_dir):
+    r2 = F.col("board") * F.col("board") + F.col("channel") * F.col("channel")
+    return hits(spark, sf_dir).select("hit_id", F.sqrt(r2.cast("double")).alias("r"), r2.alias("r2"))
