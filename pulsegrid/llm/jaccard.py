@@ -12,8 +12,11 @@ the keys, never what is found.
 
 Candidates of a posting list are not all paired.  First each member is verified against one pivot of its list, in some
 rounds with other pivots; members that are by then in one component need no more comparison.  Only pairs of a list
-that still lie in different components, and pass the length and position filters, are then formed and verified, so no
-link that joins two components is lost.
+that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
+so no link that joins two components is lost.  The parity filter: a set has PARITY buckets by hash and a bit for each
+that holds an odd number of its tokens.  Where two sets' bits differ, at least one token is in one set only, so the
+number of differing bits never exceeds the symmetric difference, which a wanted Jaccard bounds.  It rejects members of a
+large group that are nearly similar enough without their pairs ever leaving the join.
 
 Verification has two steps.  Prefixes come first: all common tokens up to the end of the prefix that ends earlier stand
 in both prefixes, so the overlap is at most the prefixes' common tokens and what follows the prefix.  Whole sets are
@@ -35,7 +38,8 @@ from .common import arrow_batches, cut, documents, drop_cut
 
 FREQUENT = 1 << 16
 SMALL = 256
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS = 2
+PARITY = 512
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -89,6 +93,12 @@ def node_of(tokens: np.ndarray) -> int:
         return int((a[0] + a[1] * np.uint64(0x2545F4914F6CDD1D)).astype(np.int64))
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """PARITY bits as longs: which hash buckets hold an odd number of tokens."""
+    odd = np.bincount((tokens >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
 
@@ -219,11 +229,11 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
                 # A set that repeats in the batch, and a row without id, give no keys.
                 fresh = {n: i for i, n in reversed(list(enumerate(nodes))) if part.column(0)[i].is_valid}
                 found = [keys(s, frequent, order, percent, small) if fresh.get(n) == i else NO_KEYS for i, (s, n) in enumerate(zip(sets, nodes))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0].astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2].tobytes() for f in found], pa.binary())], ["doc_id", "node", "n", "keys", "places", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0].astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2].tobytes() for f in found], pa.binary()), pa.array([parity(s) if len(f[0]) else [] for s, f in zip(sets, found)], pa.list_(pa.int64()))], ["doc_id", "node", "n", "keys", "places", "prefix", "odd"])
 
-    indexed = cut(d.mapInArrow(index, "doc_id long, node long, n long, keys array<long>, places array<int>, prefix binary"))
+    indexed = cut(d.mapInArrow(index, "doc_id long, node long, n long, keys array<long>, places array<int>, prefix binary, odd array<long>"))
     of = cut(indexed.select("doc_id", "node", "n"))
-    nodes = cut(indexed.filter(F.size("keys") > 0).groupBy("node").agg(F.first(F.struct("n", "keys", "places", "prefix")).alias("one")).select("node", "one.*"))
+    nodes = cut(indexed.filter(F.size("keys") > 0).groupBy("node").agg(F.first(F.struct("n", "keys", "places", "prefix", "odd")).alias("one")).select("node", "one.*"))
     drop_cut(indexed)
     # One row per key and node; keys with one node are of no use.
     postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", F.col("k.places").alias("place"))
@@ -251,7 +261,8 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
         else:
             now = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-            now = cut(now.join(open_, "key"))
+            now = now.join(open_, "key")
+            now = cut(now if step < pivot_rounds else now.join(nodes.select("node", "odd"), "node"))
             if now.isEmpty():
                 break
         if step < pivot_rounds:
@@ -259,10 +270,14 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
             pivot = now.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.xxhash64("comp" if step else "node", F.lit(step), "node")).alias("p"))
             met = now.join(pivot, "key").filter((F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"))
+            if comp is None:
+                now = now.join(nodes.select("node", "odd"), "node")
+            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"), F.col("odd").alias("odd_b"))
+            differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+            near = differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
             least = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
             reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
-            met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m")) & (reach >= least)).select(F.col("node").alias("a"), "b")
+            met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m")) & (reach >= least) & near).select(F.col("node").alias("a"), "b")
         found = verify(met.distinct(), prefixes, texts, percent)
         links = found if links is None else cut(links.unionAll(found))
         if not links.isEmpty():
