@@ -10,8 +10,8 @@ every pair that can be similar meets in one way.  Every candidate is verified on
 The frequent class comes from lossy counts over all documents, held to FREQUENT tokens: it only shapes the order and
 the keys, never what is found.
 
-Candidates of a posting list are not all paired.  First each member is verified against one pivot of its list, in some
-rounds with other pivots; members that are by then in one component need no more comparison.  Only pairs of a list
+Candidates of a posting list are not all paired.  First each member is verified against PIVOTS of its list, in some
+rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
 that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
 so no link that joins two components is lost.  The parity filter: a set has PARITY buckets by hash and a bit for each
 that holds an odd number of its tokens.  Where two sets' bits differ, at least one token is in one set only, so the
@@ -38,7 +38,7 @@ from .common import arrow_batches, cut, documents, drop_cut
 
 FREQUENT = 1 << 16
 SMALL = 256
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, PIVOTS = 1, 2
 PARITY = 512
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -267,7 +267,8 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
                 break
         if step < pivot_rounds:
             # max_by keeps one row per key and task, however long the list.
-            pivot = now.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.xxhash64("comp" if step else "node", F.lit(step), "node")).alias("p"))
+            by = [F.max_by(F.struct("node", "n", "comp"), F.xxhash64("comp" if step else "node", F.lit(step * PIVOTS + i), "node")) for i in range(PIVOTS)]
+            pivot = now.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("p")).withColumn("p", F.explode("p"))
             met = now.join(pivot, "key").filter((F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
             if comp is None:
