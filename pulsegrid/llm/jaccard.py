@@ -16,7 +16,8 @@ that still lie in different components, and pass the filters of length, position
 so no link that joins two components is lost.  The parity filter: a set has PARITY buckets by hash and a bit for each
 that holds an odd number of its tokens.  Where two sets' bits differ, at least one token is in one set only, so the
 number of differing bits never exceeds the symmetric difference, which a wanted Jaccard bounds.  It rejects members of a
-large group that are nearly similar enough without their pairs ever leaving the join.
+large group that are nearly similar enough without their pairs ever leaving the join.  A pair leaves at its first common
+key by place; other keys give it only where that one is not among the HEAD first of both nodes.
 
 Verification has two steps.  Prefixes come first: all common tokens up to the end of the prefix that ends earlier stand
 in both prefixes, so the overlap is at most the prefixes' common tokens and what follows the prefix.  Whole sets are
@@ -39,6 +40,7 @@ from .common import arrow_batches, cut, documents, drop_cut
 FREQUENT = 1 << 16
 SMALL = 256
 PIVOT_ROUNDS, PIVOTS = 1, 2
+HEAD = 16
 PARITY = 512
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -262,7 +264,7 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
             now = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
             now = now.join(open_, "key")
-            now = cut(now if step < pivot_rounds else now.join(nodes.select("node", "odd"), "node"))
+            now = cut(now)
             if now.isEmpty():
                 break
         if step < pivot_rounds:
@@ -271,14 +273,17 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
             pivot = now.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("p")).withColumn("p", F.explode("p"))
             met = now.join(pivot, "key").filter((F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
-            if comp is None:
-                now = now.join(nodes.select("node", "odd"), "node")
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"), F.col("odd").alias("odd_b"))
+            # A node's keys are bounded by its own prefix.
+            heads = now.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, HEAD).alias("head"))
+            now = cut(now.join(heads.join(nodes.select("node", "odd"), "node"), "node"))
+            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"), F.col("odd").alias("odd_b"), F.col("head.key").alias("head_b"))
             differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY // 64)), F.lit(0))
             near = differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
             least = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
             reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
-            met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m")) & (reach >= least) & near).select(F.col("node").alias("a"), "b")
+            before = F.filter("head", lambda h: h < F.struct("place", "key"))
+            earlier = F.arrays_overlap(F.transform(before, lambda h: h["key"]), F.col("head_b"))
+            met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m")) & (reach >= least) & near & ~earlier).select(F.col("node").alias("a"), "b")
         found = verify(met.distinct(), prefixes, texts, percent)
         links = found if links is None else cut(links.unionAll(found))
         if not links.isEmpty():
