@@ -10,6 +10,9 @@ every pair that can be similar meets in one way.  Every candidate is verified on
 The frequent class comes from lossy counts over all documents, held to FREQUENT tokens: it only shapes the order and
 the keys, never what is found.
 
+Near copies share most keys of their prefixes, so many keys have the same nodes.  Such keys make one list, named by a
+hash of its nodes; a node stands in it at its first place among them, which is never behind the first common token.
+
 Candidates of a posting list are not all paired.  First each member is verified against PIVOTS of its list, in some
 rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
 that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
@@ -237,9 +240,12 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     of = cut(indexed.select("doc_id", "node", "n"))
     nodes = cut(indexed.filter(F.size("keys") > 0).groupBy("node").agg(F.first(F.struct("n", "keys", "places", "prefix", "odd")).alias("one")).select("node", "one.*"))
     drop_cut(indexed)
-    # One row per key and node; keys with one node are of no use.
+    # One row per list and node; keys with one node are of no use, and keys with the same nodes are one list.
     postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", F.col("k.places").alias("place"))
-    lists = cut(postings.withColumn("members", F.count("*").over(Window.partitionBy("key"))).filter("members > 1").drop("members"))
+    of_key, mark = Window.partitionBy("key"), F.xxhash64("node")
+    same = F.xxhash64(F.count("*").over(of_key), F.bit_xor(mark).over(of_key), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 34)).over(of_key))
+    shared = postings.withColumn("members", F.count("*").over(of_key)).withColumn("list", same).filter("members > 1")
+    lists = cut(shared.groupBy(F.col("list").alias("key"), "node").agg(F.first("n").alias("n"), F.min("place").alias("place")))
     prefixes = nodes.select("node", "n", F.col("prefix").alias("tokens"))
     reps = of.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
