@@ -43,7 +43,7 @@ from .common import arrow_batches, cut, documents, drop_cut
 FREQUENT = 1 << 16
 SMALL = 256
 PIVOT_ROUNDS, PIVOTS = 1, 2
-HEAD = 16
+HEAD = 32
 PARITY = 512
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
