@@ -1,58 +1,98 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Lines are parsed in a tree of fixed depth: first the number of tokens, then the two leading tokens, digits masked.  A
-leaf's templates are the masked line itself and, for lines of at least `wild_tokens` tokens, the line with one quarter
-of its tokens left open: lines that differ in one variable field share such a template.  A line recurs if one of its
-templates stands in at least `min_docs` documents; recurring lines are dropped from every document but the one with
-the smallest id, so what repeats is kept once.  Lines under `min_tokens` tokens are too plain to tell and stay.
-
-Only hashes are shuffled to count templates (each document counts once, partial aggregation takes up the hot ones);
-a text is shuffled once, when the numbers of its dropped lines meet it.
-
-Edge cases: null text stays null, empty text has one empty line, which stays; a line that recurs within one document
-only stays; documents with equal or null ids count as one document; an empty table gives an empty result; only id and
-text are looked at.
+Digits are masked.  A line's templates are the masked line itself and, for lines of at least `wild_tokens` words, the
+line with one or two of its sixths left open, wherever they stand: lines of one length that differ in up to two fields
+share such a template.  A template keeps over half of the words and five at least; the bars of a table are no words.
+A line recurs if one of its templates stands in at least `min_docs` documents; recurring lines are dropped from every
+document but the one with the smallest id, so what repeats is kept once.  Lines under `min_tokens` tokens stay.
+
+Open templates are made for few lines only: whichever two sixths are open, one third of the line stays whole, so a
+line that shares no third with a different line of its length shares no open template either.
+
+Only hashes are shuffled to count templates, and after the first count each different line once (partial aggregation
+takes up the hot ones); a text is shuffled once, when the numbers of its dropped lines meet it.
+
+Edge cases: null text stays null, lines of white space only stay; a line that recurs within one document only stays;
+documents with equal or null ids count as one document, and those without id keep their lines; an empty table gives an empty result; only id and text are
+looked at.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound, cut, documents
 
-QUARTERS = 4
+BLOCKS = 6
+LEAST_KEPT = 5
+
+
+def edge(n: Column, q: int, of: int = BLOCKS) -> Column:
+    return F.floor(n * q / of).cast("int")
 
 
-def signatures(masked: Column, min_tokens: int, wild_tokens: int) -> Column:
-    """Hashes of the templates of a masked line: none, the full one, or it and one for each open quarter."""
+def parsed(masked: Column, min_tokens: int, wild_tokens: int) -> Column:
+    """Struct (full, n, parts) of a masked line: its hash, number of words and hashes of its sixths; null if it has no template."""
     tokens = F.filter(F.split(masked, r"[\x20\x09\x0B-\x0D]+"), lambda t: t != "")
+    words = lambda t: F.filter(t, lambda w: w != "|")
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        parts = F.array(*[F.hash(F.slice(w, edge(n, q) + 1, edge(n, q + 1) - edge(n, q))) for q in range(BLOCKS)])
+        return F.struct(n.alias("n"), F.when(n >= max(BLOCKS, wild_tokens), parts).alias("parts"))
+
+    line = lambda t: F.when(F.size(t) >= max(1, min_tokens), bound(words(t), lambda w: bound(of(w), lambda x: F.struct(F.xxhash64(t).alias("full"), x["n"].alias("n"), x["parts"].alias("parts")))))
+    return bound(tokens, line)
+
+
+def opened(n: Column, parts: Column) -> Column:
+    """Hashes of the templates with one or two open sixths that keep enough words."""
+    size = [edge(n, q + 1) - edge(n, q) for q in range(BLOCKS)]
+
+    def template(gone: tuple[int, ...]) -> Column:
+        kept = n - sum((size[q] for q in gone), F.lit(0))
+        # With two open sixths allowed throughout, those with one find nothing more.
+        wanted = (kept >= LEAST_KEPT) & (kept * 2 > n) & (F.lit(len(gone) == 2) | (n < BLOCKS + 3))
+        return F.when(wanted, F.xxhash64(n, F.lit(",".join(map(str, gone))), *[parts[q] for q in range(BLOCKS) if q not in gone]))
+
+    return F.filter(F.array(*[template(g) for k in (1, 2) for g in combinations(range(BLOCKS), k)]), lambda x: x.isNotNull())
 
-    def of(t: Column) -> Column:
-        n = F.size(t)
-        lead = F.xxhash64(n, F.slice(t, 1, 2))
-        edge = lambda q: F.floor(n * q / QUARTERS).cast("int")
-        parts = F.array(*[F.xxhash64(F.slice(t, edge(q) + 1, edge(q + 1) - edge(q))) for q in range(QUARTERS)])
-        opened = lambda p: [F.xxhash64(lead, F.lit(q), *[p[i] for i in range(QUARTERS) if i != q]) for q in range(QUARTERS)]
-        full = lambda p: F.xxhash64(lead, F.lit(QUARTERS), p)
-        return F.when(n < min_tokens, F.array().cast("array<long>")).otherwise(bound(parts, lambda p: F.when(n < wild_tokens, F.array(full(p))).otherwise(F.array(full(p), *opened(p)))))
 
-    return bound(tokens, of)
+def templates(pool: DataFrame) -> DataFrame:
+    """(full, sig, low, high, nameless): the templates of different lines; each is its own, those near another have open ones."""
+    wide = pool.filter(F.col("parts").isNotNull())
+    thirds = wide.select("full", F.explode(F.array(*[F.xxhash64("n", F.lit(q), F.col("parts")[2 * q], F.col("parts")[2 * q + 1]) for q in range(BLOCKS // 2)])).alias("third"))
+    shared = thirds.groupBy("third").agg(F.count("*").alias("lines")).filter("lines > 1").select("third")
+    near = cut(thirds.join(shared, "third", "left_semi").select("full").distinct())
+    own = ["low", "high", "nameless"]
+    open_ = wide.join(near, "full", "left_semi").select("full", F.explode(opened(F.col("n"), F.col("parts"))).alias("sig"), *own)
+    return cut(pool.select("full", F.col("full").alias("sig"), *own).unionAll(open_))
 
 
 def recurring(docs: DataFrame, min_docs: int, min_tokens: int, wild_tokens: int) -> DataFrame:
     """(doc_id, drop): numbers of the lines, from 0, that a document loses."""
     masked = F.split(F.regexp_replace("text", "[0-9]+", "0"), "\n")
-    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.transform(masked, lambda x: signatures(x, min_tokens, wild_tokens))).alias("line", "sigs")).filter(F.size("sigs") > 0)
-    lines = cut(lines)
-    each = lines.select("doc_id", "line", F.explode("sigs").alias("sig"))
-    # Counted per document first, where the partial sums already join its equal lines.
-    often = each.groupBy("sig", "doc_id").agg(F.lit(1).alias("one")).groupBy("sig").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
-    hit = each.join(often, "sig").groupBy("doc_id", "line").agg(F.min("first").alias("first"))
+    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.transform(masked, lambda x: parsed(x, min_tokens, wild_tokens))).alias("line", "p")).filter(F.col("p").isNotNull())
+    lines = cut(lines.select("doc_id", "line", "p.*"))
+    pool = cut(lines.groupBy("full").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("nameless")))
+    sigs = templates(pool)
+    often = sigs.groupBy("sig").agg(F.min("low").alias("first"), F.max("high").alias("high"), F.max("nameless").alias("nameless"))
+    if min_docs > 1:
+        # Two documents: the smallest and the largest id differ, or one of them has none.
+        often = often.filter((F.col("first") != F.col("high")) | (F.col("nameless") & F.col("first").isNotNull()))
+    often = often.select("sig", "first")
+    if min_docs > 2:
+        pairs = lines.select("full", "doc_id").distinct().join(sigs.join(often, "sig", "left_semi").select("full", "sig"), "full").select("sig", "doc_id").distinct()
+        often = often.join(pairs.groupBy("sig").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "sig", "left_semi")
+    found = cut(sigs.join(often, "sig").groupBy("full").agg(F.min("first").alias("first")))
+    hit = lines.select("doc_id", "line", "full").join(found, "full")
     return hit.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 4, min_tokens: int = 6, wild_tokens: int = 12) -> DataFrame:
+def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 4, min_tokens: int = 6, wild_tokens: int = BLOCKS) -> DataFrame:
     """A row per document: doc_id, n_lines, n_dropped, text without its recurring lines."""
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     drops = recurring(d, min_docs, min_tokens, wild_tokens).withColumnRenamed("doc_id", "of")

@@ -193,6 +193,15 @@ def test_line_dedup(spark):
     assert got[50]["text"] is None and got[51]["text"] == "" and got[52]["text"] == "a\nb"
 
 
+def test_line_dedup_opens_fields(spark):
+    r = random.Random(8)
+    name = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    forms = [lambda: f"Page written by {name()} last week", lambda: f"{name()} has joined this quiet little room", lambda: f"{name()} sent {name()} all of the other files yesterday", lambda: f"The host {name()} was found by us in the list that the office of {name()} keeps for all", lambda: f"| {name()} | {name()} | {name()} | {name()} | {name()} | {name()} |", lambda: " ".join(name() for _ in range(9))]
+    rows = [(i, "\n".join(f() for f in forms)) for i in range(6)]
+    got = {x["doc_id"]: x for x in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["n_dropped"] == 0 and all(got[i]["n_dropped"] == 4 and got[i]["text"] == "\n".join(rows[i][1].split("\n")[4:]) for i in range(1, 6))
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     p = langid.op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (p["lang"] == p["lang_pred"]).mean() > 0.95 and p["score"].between(0, 1).all()
