@@ -92,7 +92,7 @@ def recurring(docs: DataFrame, min_docs: int, min_tokens: int, wild_tokens: int)
     return hit.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 4, min_tokens: int = 6, wild_tokens: int = BLOCKS) -> DataFrame:
+def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 2, min_tokens: int = 6, wild_tokens: int = BLOCKS) -> DataFrame:
     """A row per document: doc_id, n_lines, n_dropped, text without its recurring lines."""
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     drops = recurring(d, min_docs, min_tokens, wild_tokens).withColumnRenamed("doc_id", "of")
@@ -103,4 +103,4 @@ def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def op10_line_dedup(spark, sf_dir):
-    return drop_lines(documents(spark, sf_dir))
+    return drop_lines(documents(spark, sf_dir), min_tokens=1)

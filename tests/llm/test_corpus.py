@@ -193,6 +193,15 @@ def test_line_dedup(spark):
     assert got[50]["text"] is None and got[51]["text"] == "" and got[52]["text"] == "a\nb"
 
 
+def test_line_dedup_short_lines_and_two_documents(spark):
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    rows = [(1, f"All rights reserved.\nfirst\n{long}"), (2, f"second\n{long}"), (3, "All rights reserved.\n \n\n|"), (4, "once\nonce\n \n"), (None, "first"), (None, "only nameless"), (None, "only nameless")]
+    got = sorted((x["doc_id"] or 0, x["n_dropped"], x["text"]) for x in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1).collect())
+    assert got == [(0, 0, "first"), (0, 0, "only nameless"), (0, 0, "only nameless"), (1, 0, rows[0][1]), (2, 1, "second"), (3, 1, " \n\n|"), (4, 0, rows[3][1])]
+    more = [(i, "All rights reserved.") for i in range(3)] + [(10 + i, "In four documents") for i in range(4)]
+    assert [(x["doc_id"], x["n_dropped"]) for x in line_dedup.drop_lines(spark.createDataFrame(more, "doc_id long, text string"), min_docs=4, min_tokens=1).collect() if x["n_dropped"]] == [(11, 1), (12, 1), (13, 1)]
+
+
 def test_line_dedup_opens_fields(spark):
     r = random.Random(8)
     name = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
