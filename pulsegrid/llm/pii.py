@@ -1,6 +1,8 @@
 """Personal data by a semi-Markov conditional random field over candidate segments.
 
-Loose patterns propose segments with a type; features of a whole segment (digits, separators, grouping, check digit,
+Loose patterns propose segments with a type; of a run of digit groups every part that begins and ends with a group, has
+7 to 19 digits and is at most LONGEST characters is proposed as a card, a phone and an SSN number, so that data which
+follow one another are told apart.  Features of a whole segment (digits, separators, grouping, check digit,
 parts, surrounding characters, a cue word before it) score it.  A text's candidates and the gaps between their bounds
 form a lattice; a dynamic program over it jointly chooses bounds and types, an entity being at most LONGEST characters.
 The weights are learned here by maximum likelihood (forward-backward over the same lattice) on sentences generated
@@ -74,13 +76,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LOOSE = [
     ((0,), re.compile(r"(?<![\w.%+-])[\w.%+-]{1,40}+(?:\x20?(?:\(at\)|\[at\])\x20?|@|\x20at\x20(?=[A-Za-z0-9-]{1,30}\x20dot\x20))[A-Za-z0-9-]{1,30}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z]{2,12}){1,3}", re.I)),
     ((1,), re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")),
-    ((2, 3, 4), re.compile(r"(?<![\w.+])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![\w])")),
 ]
+#: Digit groups with up to two separators between them.
+RUN = re.compile(r"[0-9]++(?:[\x20().-]{1,2}+[0-9]++)*+")
+GROUP = re.compile(r"[0-9]+")
 #: Words that announce a type.
 CUES = (("mail", "contact", "write"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "pay"), ("phone", "call", "tel", "mobile", "fax"), ("ssn", "social", "security"))
 LOOK_ALIKE = ("order", "invoice", "id", "no", "number", "serial", "isbn", "date", "version")
 
 
+def in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def numbers(text: str):
+    """(start, end) of the parts of digit runs; a start takes in a plus sign, and with and without an opening bracket."""
+    for run in RUN.finditer(text):
+        groups = [m.span() for m in GROUP.finditer(text, run.start(), run.end())]
+        for i, (first, _) in enumerate(groups):
+            sign = text[first - 1 : first] if first else ""
+            for start in [first - 1] if sign == "+" else [first - 1, first] if sign == "(" else [first]:
+                before = text[start - 1 : start] if start else ""
+                if in_word(before) or before == "+" or before == "." and i == 0:
+                    continue
+                n = 0
+                for a, end in groups[i:]:
+                    n += end - a
+                    if n > 19 or end - start > LONGEST:
+                        break
+                    if n >= 7 and not in_word(text[end : end + 1]):
+                        yield start, end
+
+
 def segments(text: str) -> list[tuple[int, int, int]]:
     """Candidate (start, end, kind)."""
     out = []
@@ -89,6 +116,8 @@ def segments(text: str) -> list[tuple[int, int, int]]:
     for kinds, pattern in LOOSE:
         if has_at if kinds == (0,) else has_digit:
             out += [(m.start(), m.end(), k) for m in pattern.finditer(text) if m.end() - m.start() <= LONGEST for k in kinds]
+    if has_digit:
+        out += [(s, e, k) for s, e in numbers(text) for k in (2, 3, 4)]
     return sorted(out)
 
 
@@ -99,11 +128,13 @@ def features(text: str, start: int, end: int, kind: int) -> list[int]:
     groups = [len(g) for g in re.findall(r"[0-9]+", s)]
     words = re.findall(r"[a-z]+", before)[-3:]
     f = [True, 8 <= len(digits) <= 15, 16 <= len(digits) <= 19, 13 <= len(digits) <= 15, len(digits) == 9, len(digits) in (7, 10, 11), s[:1] == "+", "(" in s[:6], len(groups) == 1, len(groups) > 1 and set(groups[:-1]) == {4}, groups == [3, 2, 4], groups[-1:] == [4] and len(groups) > 2, len(digits) >= 13 and luhn(digits), len(groups) == 4 and max(groups, default=9) <= 3 and "." in s, any(g > 3 for g in groups), "@" in s, "dot" in s.lower(), any(c.isalpha() for c in s), any(w.startswith(CUES[kind]) for w in words), any(w in LOOK_ALIKE for w in words), " " in s, "-" in s, before[-1:].isalnum()]
+    # Bounds: standing for itself as a whole, or cut out of a longer string.
+    f += [groups == [3, 3, 4], s[:1] == "+" and groups[1:] == [3, 3, 4], groups == [4] * 4, s.count("(") != s.count(")"), before[-1:] in ("-", ".") and before[-2:-1].isdigit(), text[end : end + 1] in ("-", ".") and text[end + 1 : end + 2].isdigit(), before[-1:] in ("(", ")"), before[-1:] == " " and (before[-2:-1].isdigit() or before[-2:-1] == ")"), text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit()]
     base = kind * N_FEATURES
     return [base + i for i, x in enumerate(f) if x]
 
 
-N_FEATURES = 23
+N_FEATURES = 32
 
 
 def lattice(segs: list[tuple[int, int, int]]) -> tuple[list[int], list[list[tuple[int, int]]]]:
@@ -185,6 +216,9 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
             return f"{d(3)}-{d(2)}-{d(4)}", 4
         return r.choice([card(False), d(r.randint(7, 20)), f"{r.randint(1900, 2030)}-{d(2)}-{d(2)} {d(2)}", f"{d(4)} {d(4)}", f"{d(3)}.{d(2)}.{d(2)}.{d(4)}"]), -1
 
+    def neighbour() -> tuple[str, int]:
+        return one() if r.random() < 0.6 else (r.choice([str(r.randint(1900, 2030)), f"{r.randint(1900, 2030)}-{d(2)}-{d(2)}", d(r.randint(1, 3))]), -1)
+
     out = []
     for _ in range(n):
         text, true = " ".join(word() for _ in range(r.randint(0, 4))), []
@@ -194,7 +228,14 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
             text += f" {word()} {cue}"
             if kind >= 0:
                 true.append((len(text), len(text) + len(e), kind))
-            text += e + f" {word()}."
+            text += e
+            while r.random() < 0.25:
+                e, kind = neighbour()
+                text += " "
+                if kind >= 0:
+                    true.append((len(text), len(text) + len(e), kind))
+                text += e
+            text += f" {word()}."
         out.append((text, true))
     return out
 

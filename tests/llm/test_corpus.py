@@ -153,6 +153,15 @@ def test_pii_field_on_generated_texts(docs):
     assert pii.find(docs, weights=w).count() == docs.count()
 
 
+def test_pii_tells_adjacent_data_apart():
+    w = pii.learn(300, 25)
+    want = {"call 555-123-4567 555-987-6543": ["phone:5:17", "phone:18:30"], "ssn 123-45-6789 2024": ["ssn:4:15"], "tel 555-123-4567 2024-01-05": ["phone:4:16"], "(555) 123-4567 123-45-6789 x": ["phone:0:14", "ssn:15:26"]}
+    for text, spans in want.items():
+        assert pii.printed(pii.spans(text, w)[1]).split(",") == spans, text
+    digits = " ".join(["12-3"] * 5000)
+    assert all(e - s <= pii.LONGEST for s, e, _ in pii.segments(digits)) and len(pii.segments(digits)) < 10000 * 3 * 19
+
+
 def test_mixing(spark, docs, rows):
     sized = docs.drop("size").withColumn("size", mixing.n_words(F.col("text")))
     got = mixing.mix(sized).select("source", "size", "source_size", "target", "taken", "row.doc_id").collect()
