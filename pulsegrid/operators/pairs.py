@@ -9,15 +9,16 @@ AMBIGUOUS_S1, AMBIGUOUS_S2, CLOSE, ORPHAN_S1, ORPHAN_S2 = 1 << 4, 1 << 5, 1 << 6
 
 
 def candidates(s1: DataFrame, s2: DataFrame, max_drift: int, min_drift: int = 0) -> DataFrame:
-    """Pairs with min_drift <= s2.t - s1.t <= max_drift.  s1, s2: peak_id, t, area.
+    """Pairs with min_drift <= s2.t - s1.t <= max_drift.  s1, s2: peak_id, t, area; width and n_channels, if there, come along.
 
     s1 lies in one bin of the width of the window; an s2 looks into its own and the earlier one, so a pair meets once
     and the join is an equality with a residual range.
     """
     width = max(1, max_drift)
-    a = s1.select(F.col("peak_id").alias("s1_id"), F.col("t").alias("s1_t"), F.col("area").alias("s1_area"), F.floor(F.col("t") / width).alias("bin"))
+    more = lambda side, name: [F.col(c).alias(f"{name}_{c}") for c in ("width", "n_channels") if c in side.columns]
+    a = s1.select(*more(s1, "s1"), F.col("peak_id").alias("s1_id"), F.col("t").alias("s1_t"), F.col("area").alias("s1_area"), F.floor(F.col("t") / width).alias("bin"))
     own = F.floor(F.col("t") / width)
-    b = s2.select(F.col("peak_id").alias("s2_id"), F.col("t").alias("s2_t"), F.col("area").alias("s2_area"), F.explode(F.array(own - 1, own)).alias("bin"))
+    b = s2.select(*more(s2, "s2"), F.col("peak_id").alias("s2_id"), F.col("t").alias("s2_t"), F.col("area").alias("s2_area"), F.explode(F.array(own - 1, own)).alias("bin"))
     drift = F.col("s2_t") - F.col("s1_t")
     p = a.join(b, "bin").filter(drift.between(min_drift, max_drift)).drop("bin").withColumn("drift", drift)
     p = p.withColumns({"n_s1": F.count("*").over(Window.partitionBy("s2_id")), "n_s2": F.count("*").over(Window.partitionBy("s1_id")), "log10_ratio": F.when((F.col("s1_area") > 0) & (F.col("s2_area") > 0), F.log10(F.col("s2_area") / F.col("s1_area"))).otherwise(0.0)})
@@ -33,16 +34,28 @@ def orphans(peaks: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return left.select(one.alias("s1_id"), two.alias("s2_id"), F.lit(-1).cast("long").alias("drift"), F.lit(ids[2]).alias("flags"))
 
 
-def select(pairs: DataFrame, mode: str = "largest") -> DataFrame:
+def select(pairs: DataFrame, mode: str = "largest", drift_ends: tuple[int, int] | None = None) -> DataFrame:
     """Ranks each s2's pairs by score; keeps the best, with the distance to the second.  Ties go to the smaller s1 id.
 
-    largest: log1p of the S1 area; nearest: 1 - drift scaled to [0, 1] over all pairs.  NaN scores come last.
+    largest: log1p of the S1 area; nearest: 1 - drift scaled to [0, 1] over all pairs, or by drift_ends; best_score: 0.2
+    of that, 0.4 of the S1's quality and 0.2 of the S2's, which need s1_width, s1_n_channels and s2_n_channels; all: every
+    pair as it is, without score.  NaN scores come last.
     """
+    if mode == "all":
+        return pairs
     if mode == "largest":
         scored = pairs.withColumn("score", F.log1p("s1_area"))
+    elif mode in ("nearest", "best_score"):
+        # One row.
+        ends = pairs.agg(F.min("drift").alias("_lo"), F.max("drift").alias("_hi")) if drift_ends is None else pairs.sparkSession.createDataFrame([drift_ends], "_lo long, _hi long")
+        time = F.when(F.col("_hi") > F.col("_lo"), 1 - (F.col("drift") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)
+        score = time
+        if mode == "best_score":
+            log = lambda c, least: F.log1p(F.greatest(F.col(c), F.lit(least)).cast("double"))
+            score = 0.2 * time + 0.4 * (log("s1_area", 0) + 0.5 * log("s1_n_channels", 1) - 0.5 * log("s1_width", 1)) + 0.2 * (log("s2_area", 0) + 0.3 * log("s2_n_channels", 1))
+        scored = pairs.join(F.broadcast(ends)).withColumn("score", score).drop("_lo", "_hi")
     else:
-        ends = pairs.agg(F.min("drift").alias("_lo"), F.max("drift").alias("_hi"))  # one row
-        scored = pairs.join(F.broadcast(ends)).withColumn("score", F.when(F.col("_hi") > F.col("_lo"), 1 - (F.col("drift") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)).drop("_lo", "_hi")
+        raise ValueError(f"Unknown selection mode: {mode}")
     w = Window.partitionBy("s2_id").orderBy(F.isnan("score"), F.desc("score"), "s1_id")
     ranked = scored.withColumns({"rank_s2": F.row_number().over(w), "second": F.lead("score").over(w)})
     best = ranked.filter("rank_s2 = 1").withColumn("delta", F.coalesce(F.col("score") - F.col("second"), F.lit(float("inf")))).drop("second")

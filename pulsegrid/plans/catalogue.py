@@ -260,7 +260,7 @@ LAYOUT = "layout AS (SELECT c % 2 AS board, c AS channel, CAST(c % 3 - 1 AS DOUB
 
 @query(f"WITH {HITS}, {LAYOUT}, " + island_sql(GAP).split("events),", 1)[1] + """, a AS (SELECT CAST(island AS BIGINT) AS island, board, channel, sum(area) AS area FROM i GROUP BY island, board, channel)
 SELECT island, round(sum(area / gain * x) / sum(area / gain), 9) AS x, round(sum(area / gain * y) / sum(area / gain), 9) AS y, count(*) AS n FROM a JOIN layout USING (board, channel) WHERE area > 0 GROUP BY island HAVING sum(area / gain) > 0""")
-def position_reconstruction(spark, sf_dir):
+def center_of_gravity(spark, sf_dir):
     a = peaks.channel_areas(clusters.islands(hits(spark, sf_dir), GAP), "island")
     return peaks.center_of_gravity(a, layout(spark), "island").select("island", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "n")
 

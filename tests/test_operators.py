@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -80,6 +81,19 @@ def test_pairs_count_ambiguity_and_pick_the_largest(spark):
     assert pairs.candidates(s1, s2, 17500).count() == 1
 
 
+def test_pair_selection_modes(spark):
+    side = "peak_id long, t long, area double, width long, n_channels long"
+    s1 = spark.createDataFrame([(1, 1000, 10.0, 50, 9), (2, 2000, 30.0, 90000, 1), (3, 3000, 9.0, 900, 2)], side)
+    p = pairs.candidates(s1, spark.createDataFrame([(9, 20000, 500.0, 10, 4)], side), 50000)
+    score = lambda d, area, width, n: 0.2 * (1 - (d - 17000) / 2000) + 0.4 * (math.log1p(area) + 0.5 * math.log1p(n) - 0.5 * math.log1p(width)) + 0.2 * (math.log1p(500) + 0.3 * math.log1p(4))
+    best = pairs.select(p, "best_score").first()
+    assert best["s1_id"] == 1 and best["score"] == pytest.approx(score(19000, 10, 50, 9)) and best["delta"] == pytest.approx(score(19000, 10, 50, 9) - score(17000, 9, 900, 2))
+    assert pairs.select(p, "nearest").first()["s1_id"] == 3 and pairs.select(p, "all").count() == 3
+    with pytest.raises(ValueError):
+        pairs.select(p, "no such mode")
+    assert "position_reconstruction" not in catalogue.QUERIES
+
+
 def test_csv_source(spark, tmp_path):
     (tmp_path / "RUN_CH3_0.CSV").write_text("META;x\nHEADER;X;TIMETAG\n0;3;5000;1;0;0;0;7;8;9\n0;3;6000;1;0;0;0;1;x;3\n")
     rows = csv_wave.structure(csv_wave.read(spark, str(tmp_path)), 2).orderBy("timestamp").collect()
