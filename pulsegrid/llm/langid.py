@@ -4,7 +4,7 @@ First the language family is predicted, then the language within it; both steps
 vector machines vote (squared hinge loss; ties go to the larger sum of margins).  Features are the square roots of
 the shares of hashed byte bigrams and trigrams of the whole lower-cased text, ASCII other than letters as spaces.
 
-Learning takes at most `per_language` documents of each of the `LANGUAGES_MAX` most frequent languages, those with the
+Learning takes at most `per_language` documents of each language (fewer where all would pass ROWS_MAX), those with the
 smallest hashes; only their feature vectors reach the driver, so its memory is bounded.  Prediction is map-only.
 
 Edge cases: null text, or text without a letter, is `und` with score 0; a language that is not in the table of
@@ -37,7 +37,8 @@ FAMILIES = {
     "semitic": "ar he mt am".split(),
 }
 FAMILY_OF = {x: f for f, xs in FAMILIES.items() for x in xs}
-LANGUAGES_MAX = 64
+#: Most rows learned from, over all languages.
+ROWS_MAX = 64 * 800
 BITS = 12
 LETTER = regex.compile(r"\p{L}")
 TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -115,12 +116,13 @@ class Model:
 
 
 def learn(docs: DataFrame, usable: Column, per_language: int = 800, seed: int = 5) -> Model | None:
-    """docs has doc_id, text and lang."""
+    """docs has doc_id, text and lang.  Every lang value is learned; the more there are, the fewer rows each has."""
     spark = docs.sparkSession
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MAX).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
     if not counts:
         return None
+    per_language = max(1, min(per_language, ROWS_MAX // len(counts)))
     share = F.create_map(*[y for r in counts for y in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * per_language / r["count"])))])
     h = unit_hash(F.col("doc_id"), F.lit(seed))
     picked = sorted(known.filter(h < share[F.col("lang")]).select(h.alias("h"), "doc_id", "lang").collect())
@@ -133,7 +135,7 @@ def learn(docs: DataFrame, usable: Column, per_language: int = 800, seed: int =
     if not ids:
         return None
     arrow_batches(spark)
-    chosen = spark.createDataFrame(sorted(ids), "long").toDF("chosen")  # at most 64 languages x per_language rows
+    chosen = spark.createDataFrame(sorted(ids), "long").toDF("chosen")  # at most ROWS_MAX rows, or one a language
 
     def run(batches):
         for b in batches:

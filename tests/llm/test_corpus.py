@@ -233,6 +233,16 @@ def test_language_edge_cases(docs):
     assert {x["lang_pred"] for x in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_learns_every_value(spark):
+    r = random.Random(9)
+    names = [f"x{i:02d}" for i in range(67)]
+    own = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for k in names}
+    rows = [(100 * j + i, " ".join(r.choice(own[k]) for _ in range(30)), k) for i, k in enumerate(names) for j in range(2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(d, langid.learn(d, F.lit(True))).collect()}
+    assert got == {i: k for i, _, k in rows}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     sized = none.drop("size").withColumn("size", F.lit(0))
