@@ -4,8 +4,13 @@ Long texts are split beforehand at safe boundaries: before a single space betwee
 space.  No match of the pattern can reach over such a place (a match that holds a space and other characters begins
 with the space), so the pieces' ids, put together, are the whole text's.  Decoding joins the ids' raw bytes.
 
+A run of white space is one match but for its last character, which goes with what follows (at the end of a text the
+whole run is the match).  Runs of RUN characters or more are cut out by that rule and encoded as a single match, because the
+library's pattern engine takes stack for every character of such a run and ends beyond about a million.
+
 Edge cases: null and empty texts have no ids and decode to nothing; names of special tokens in a text are ordinary
-text; a text without safe boundary stays whole.  The rank file has a fixed number of lines, so the broadcast is bounded.
+text; an unbroken run of letters, digits or marks stays whole, however long (it is one match); a null id stays null.  The rank file
+has a fixed number of lines, so the broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -19,12 +24,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import arrow_batches, documents
 
 #: Texts above so many characters are split.
 LONG = 16384
 SAFE = regex.compile(r"(?<=\S)\x20(?=\S)")
+#: White-space runs of so many characters are cut out.  Entered at their first character only, so the search is linear.
+RUN = 4096
+RUNS = regex.compile(rf"(?<!\s)\s{{{RUN},}}")
 
 
 def pieces(text: str, long: int = LONG) -> Iterator[str]:
@@ -39,6 +48,19 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def matches(text: str) -> Iterator[tuple[bool, str]]:
+    """Parts of a text in order: (False, text to be split by the pattern) or (True, a single match)."""
+    at = 0
+    for run in RUNS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield from ((False, p) for p in pieces(text[at : run.start()]))
+        yield True, text[run.start() : end]
+        at = end
+    if at < len(text):
+        yield from ((False, p) for p in pieces(text[at:]))
+
+
 class Codec:
     """tiktoken's encoder for a rank file's bytes; built once in a Python worker."""
 
@@ -58,7 +80,7 @@ class Codec:
         return cls.made[key]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in pieces(text or "") for i in self.bpe.encode_ordinary(p)]
+        return [i for single, p in matches(text or "") for i in (self.bpe._encode_single_piece(p) if single else self.bpe.encode_ordinary(p))]
 
     def decode(self, ids: list[int]) -> bytes:
         return self.bpe.decode_bytes(ids)
@@ -71,8 +93,8 @@ def rank_file(path: str | None = None) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """A row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if keep_ids, the ids themselves.  Map-only."""
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, keep_ids: bool = True, carry: list[str] = ()) -> DataFrame:
+    """A row per document: id, n_tokens, ids_sha256, decoded_sha256, if keep_ids the ids themselves, and the columns in carry.  Map-only."""
     spark = docs.sparkSession
     arrow_batches(spark)
     sent = spark.sparkContext.broadcast(rank_file(path))
@@ -94,10 +116,15 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path
             if keep_ids:
                 arrays.append(pa.array(out["ids"], pa.list_(pa.int32())))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*arrays, *b.columns[2:]], [*names, *carry])
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in carry])
+    schema = StructType().add("doc_id", "long").add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if keep_ids:
+        schema = schema.add("ids", ArrayType(IntegerType()))
+    for c in carry:
+        schema = schema.add(rows.schema[c])
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -20,9 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all is one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -44,6 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
     return made
 
 
+def bounded(df: DataFrame, rows: int = 1 << 18, size: int = 4 << 20) -> DataFrame:
+    """A table made by cut(), marked for broadcast if it has at most so many rows and bytes; else as it is, to be shuffled."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() > size:
+        return df
+    n = df.count()
+    if n > rows:
+        return df
+    sent = F.broadcast(df)
+    sent.broadcast_rows = n
+    return sent
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table made by cut() that nothing reads any more."""
     spark = df.sparkSession

@@ -13,32 +13,39 @@ the keys, never what is found.
 Near copies share most keys of their prefixes, so many keys have the same nodes.  Such keys make one list, named by a
 hash of its nodes; a node stands in it at its first place among them, which is never behind the first common token.
 
-Candidates of a posting list are not all paired.  First each member is verified against PIVOTS of its list, in some
-rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
+groups() doesn't pair all candidates of a posting list.  First each member is verified against PIVOTS of its list, in
+some rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
 that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
-so no link that joins two components is lost.  The parity filter: a set has PARITY buckets by hash and a bit for each
-that holds an odd number of its tokens.  Where two sets' bits differ, at least one token is in one set only, so the
-number of differing bits never exceeds the symmetric difference, which a wanted Jaccard bounds.  It rejects members of a
-large group that are nearly similar enough without their pairs ever leaving the join.  A pair leaves at its first common
-key by place; other keys give it only where that one is not among the HEAD first of both nodes.
+so no link that joins two components is lost.  links() skips the pivots and verifies every pair.
 
-Verification has two steps.  Prefixes come first: all common tokens up to the end of the prefix that ends earlier stand
-in both prefixes, so the overlap is at most the prefixes' common tokens and what follows the prefix.  Whole sets are
-made and shuffled for the pairs that pass only.
+The parity filter: a set has buckets by hash and a bit for each that holds an odd number of its tokens.  Where two sets'
+bits differ, at least one token is in one set only, so the number of differing bits never exceeds the symmetric
+difference, which a wanted Jaccard bounds.  It is used twice: with PARITY bits inside the join, so that members of a large
+group that are nearly similar enough are rejected without their pairs ever leaving it, and with two or more bits a token
+on every candidate before whole sets are made.  A longer row of bits folds to a shorter one by exclusive or, so sets
+of different sizes compare.  A pair leaves the join at its first common key by place; other keys give it only where
+that one is not among the HEAD first of both nodes.
+
+Whole sets are made from the texts of the survivors only; texts are never shuffled for that while the survivors' ids are
+few enough to be broadcast by their counted size, and are joined by id beyond that.
 
 Edge cases: null text counts as empty; a set without shingle is linked with nothing; a text of fewer words than a
-shingle is one shingle; a null id has no links and a null component; rows with equal ids are nodes by their texts and
-share the smaller component; an empty table gives an empty result; only id and text are looked at.
+shingle is one shingle; a null id has no links and a null component; rows with equal ids are nodes by their texts, and in
+groups() such an id ties the components of all its texts into one (it is reachable from each of them), while keep_one()
+goes by rows and never drops a text for another one's sake; an empty table gives an empty result; only id and text are
+looked at.  A percentage of 50 or less is refused: one-shingle sets would have to be indexed in another way.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, documents, drop_cut
+from .common import arrow_batches, bounded, cut, documents, drop_cut
 
 FREQUENT = 1 << 16
 SMALL = 256
@@ -98,17 +105,27 @@ def node_of(tokens: np.ndarray) -> int:
         return int((a[0] + a[1] * np.uint64(0x2545F4914F6CDD1D)).astype(np.int64))
 
 
-def parity(tokens: np.ndarray) -> list[int]:
-    """PARITY bits as longs: which hash buckets hold an odd number of tokens."""
-    odd = np.bincount((tokens >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+def parity(tokens: np.ndarray, buckets: int = 0) -> np.ndarray:
+    """Packed bits: which hash buckets hold an odd number of tokens.  By default two buckets a token or more, a power of two."""
+    buckets = buckets or max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(bool), bitorder="little")
+
+
+def differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of bits in which two parity rows differ; the longer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+NO_KEYS = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
 
-def keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of a set, each one's place in its token order, and its prefix.  frequent: sorted; order: their ranks, rare first."""
+def keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set and each one's place in its token order.  frequent: sorted; order: their ranks, rare first."""
     n = len(tokens)
     if n < 2:
         return NO_KEYS
@@ -132,7 +149,7 @@ def keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: i
             out.append(mixed(tail[i] * np.uint64(3) + mixed(tail[j])))
             place.append(i + n_rare)
     h, first = np.unique(np.concatenate(out), return_index=True)
-    return h, np.concatenate(place)[first].astype(np.int32), np.sort(seq[:prefix])
+    return h, np.concatenate(place)[first].astype(np.int32)
 
 
 def frequent_tokens(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -170,37 +187,19 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def matched(pairs: DataFrame, sets: DataFrame, judge) -> DataFrame:
-    """Those of pairs (a, b) for which judge(set of a, n of a, set of b, n of b) holds.  sets: node, n, tokens."""
+    """Those of pairs (a, b) for which judge(payload of a, n of a, payload of b, n of b) holds.  sets: node, n, payload."""
 
     def run(batches):
         for b in batches:
             each = zip(*(b.column(i) for i in range(2, 6)))
-            keep = [judge(np.frombuffer(x.as_buffer(), np.uint64), n.as_py(), np.frombuffer(y.as_buffer(), np.uint64), m.as_py()) for x, n, y, m in each]
+            keep = [judge(x.as_buffer(), n.as_py(), y.as_buffer(), m.as_py()) for x, n, y, m in each]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("nx")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("ny")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("payload").alias("x"), F.col("n").alias("nx")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("payload").alias("y"), F.col("n").alias("ny")), "b")
     return two.select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, prefixes: DataFrame, texts, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough.  texts(pairs): sets of the nodes in them."""
-
-    def may(x, n, y, m):
-        return (common(x, y) + max(n - len(x), m - len(y))) * (100 + percent) >= percent * (n + m)
-
-    def are(x, n, y, m):
-        same = common(x, y)
-        return 100 * same >= percent * (len(x) + len(y) - same)
-
-    hopeful = cut(matched(pairs, prefixes, may))
-    sets = texts(hopeful)
-    links = cut(matched(hopeful, sets, are))
-    drop_cut(sets)
-    drop_cut(hopeful)
-    return links
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node that has a link, by alternating large and small stars; comp is the smallest node."""
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
@@ -211,15 +210,39 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
-        e = cut(small.select("u", F.col("m").alias("v")).unionAll(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct())
+        new = cut(small.select("u", F.col("m").alias("v")).unionAll(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct())
+        drop_cut(e)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         before = now
 
 
-def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, percent: int = 85, small: int = SMALL, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (smallest id that links lead to, its own included)."""
+@dataclass
+class Index:
+    """What the join keeps of a table.
+
+    of: a row per document (uid, doc_id, hash of its text, node, n).  nodes: a row per node (node, n, keys, places, odd, bits).
+    reps: (node, doc_id, many) with the smallest id, and whether it has other rows.  lists: (key, node, n, place).
+    """
+
+    docs: DataFrame
+    of: DataFrame
+    nodes: DataFrame
+    reps: DataFrame
+    lists: DataFrame
+    k: int
+    percent: int
+
+
+def lengths(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def prepared(docs: DataFrame, text_col: str, id_col: str, k: int, percent: int, small: int) -> Index:
+    if percent <= 50:
+        raise ValueError("percent must be over 50")
     arrow_batches(docs.sparkSession)
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     frequent, order = frequent_tokens(d, k)
@@ -229,85 +252,160 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
-                sets = [shingles(t, k, powers) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, k, powers) for t in part.column(3).to_pylist()]
                 nodes = [node_of(s) for s in sets]
-                # A set that repeats in the batch, and a row without id, give no keys.
-                fresh = {n: i for i, n in reversed(list(enumerate(nodes))) if part.column(0)[i].is_valid}
-                found = [keys(s, frequent, order, percent, small) if fresh.get(n) == i else NO_KEYS for i, (s, n) in enumerate(zip(sets, nodes))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0].astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2].tobytes() for f in found], pa.binary()), pa.array([parity(s) if len(f[0]) else [] for s, f in zip(sets, found)], pa.list_(pa.int64()))], ["doc_id", "node", "n", "keys", "places", "prefix", "odd"])
-
-    indexed = cut(d.mapInArrow(index, "doc_id long, node long, n long, keys array<long>, places array<int>, prefix binary, odd array<long>"))
-    of = cut(indexed.select("doc_id", "node", "n"))
-    nodes = cut(indexed.filter(F.size("keys") > 0).groupBy("node").agg(F.first(F.struct("n", "keys", "places", "prefix", "odd")).alias("one")).select("node", "one.*"))
-    drop_cut(indexed)
+                # A row without id gives no keys.
+                live = [part.column(1)[i].is_valid for i in range(part.num_rows)]
+                found = [keys(s, frequent, order, percent, small) if ok else NO_KEYS for s, ok in zip(sets, live)]
+                odd = [parity(s, PARITY).view(np.int64) if len(f[0]) else [] for s, f in zip(sets, found)]
+                bits = [parity(s).tobytes() if len(f[0]) else b"" for s, f in zip(sets, found)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0].astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["uid", "doc_id", "hash", "node", "n", "keys", "places", "odd", "bits"])
+
+    numbered = d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("hash"), "text")
+    indexed = cut(numbered.mapInArrow(index, "uid long, doc_id long, hash long, node long, n long, keys array<long>, places array<int>, odd array<long>, bits binary"))
+    of = indexed.select("uid", "doc_id", "hash", "node", "n")
+    # Copies collapse in each map task; one row of a node, that with the smallest id, speaks for it.
+    of_node = of.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("rows"))
+    reps = cut(of_node.select("node", "top.doc_id", "top.uid", (F.col("rows") > 1).alias("many")))
+    again = bounded(cut(reps.filter("many").select("node", F.col("uid").alias("top"))))
+    others = bounded(cut(of.join(again, "node").filter("uid != top").select("uid")))
+    nodes = indexed.filter(F.size("keys") > 0).join(others, "uid", "left_anti").drop("uid", "doc_id", "hash")
+    if not hasattr(others, "broadcast_rows"):  # too many to send: shuffled once rather than at each use
+        nodes = cut(nodes)
     # One row per list and node; keys with one node are of no use, and keys with the same nodes are one list.
     postings = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", F.col("k.places").alias("place"))
     of_key, mark = Window.partitionBy("key"), F.xxhash64("node")
     same = F.xxhash64(F.count("*").over(of_key), F.bit_xor(mark).over(of_key), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 34)).over(of_key))
     shared = postings.withColumn("members", F.count("*").over(of_key)).withColumn("list", same).filter("members > 1")
     lists = cut(shared.groupBy(F.col("list").alias("key"), "node").agg(F.first("n").alias("n"), F.min("place").alias("place")))
-    prefixes = nodes.select("node", "n", F.col("prefix").alias("tokens"))
-    reps = of.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return Index(d, of, nodes, reps, lists, k, percent)
+
+
+def verify(ix: Index, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sets are similar enough."""
+    percent, k = ix.percent, ix.k
+
+    def may(x, n, y, m):
+        return differ(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (100 + percent) <= (n + m) * (100 - percent)
+
+    def are(x, n, y, m):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        same = common(x, y)
+        return 100 * same >= percent * (len(x) + len(y) - same)
 
     def tokens(batches):
         powers = Powers()
         for b in batches:
             sets = [shingles(t, k, powers) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "payload"])
+
+    hopeful = cut(matched(pairs, ix.nodes.select("node", "n", F.col("bits").alias("payload")), may))
+    wanted = cut(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ix.reps, "node").select("doc_id").distinct())
+    sets = cut(ix.docs.join(bounded(wanted), "doc_id", "left_semi").select("text").mapInArrow(tokens, "node long, n long, payload binary"))
+    links = cut(matched(hopeful, sets.dropDuplicates(["node"]), are))
+    for spent in (sets, wanted, hopeful):
+        drop_cut(spent)
+    return links
 
-    def texts(pairs):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sources = wanted.join(reps, "node").select("doc_id")
-        return cut(d.join(sources, "doc_id", "left_semi").select("text").mapInArrow(tokens, "node long, n long, tokens binary"))
 
-    comp = None
-    lengths = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    links = None
+def all_pairs(ix: Index, now: DataFrame) -> DataFrame:
+    """(a, b): pairs of the lists that pass the filters and lie in different components.  now: lists with comp."""
+    percent = ix.percent
+    # A node's keys are bounded by its own prefix.
+    heads = now.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, HEAD).alias("head"))
+    now = cut(now.join(heads.join(ix.nodes.select("node", "odd"), "node"), "node"))
+    other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"), F.col("odd").alias("odd_b"), F.col("head.key").alias("head_b"))
+    apart = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    least = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
+    reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
+    before = F.filter("head", lambda h: h < F.struct("place", "key"))
+    earlier = F.arrays_overlap(F.transform(before, lambda h: h["key"]), F.col("head_b"))
+    met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m"), percent) & (reach >= least) & near & ~earlier)
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
+def joined(ix: Index, pivot_rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified pairs of nodes that span the components, and (node, comp) of the nodes that have a link."""
+    comp = links = None
     for step in range(pivot_rounds + 1):
         if comp is None:
-            now = lists.withColumn("comp", F.col("node"))
+            now = ix.lists.withColumn("comp", F.col("node"))
         else:
-            now = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            now = ix.lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-            now = now.join(open_, "key")
-            now = cut(now)
+            now = cut(now.join(open_, "key"))
             if now.isEmpty():
                 break
         if step < pivot_rounds:
             # max_by keeps one row per key and task, however long the list.
             by = [F.max_by(F.struct("node", "n", "comp"), F.xxhash64("comp" if step else "node", F.lit(step * PIVOTS + i), "node")) for i in range(PIVOTS)]
             pivot = now.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("p")).withColumn("p", F.explode("p"))
-            met = now.join(pivot, "key").filter((F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+            met = now.join(pivot, "key").filter((F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"), ix.percent)).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
-            # A node's keys are bounded by its own prefix.
-            heads = now.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, HEAD).alias("head"))
-            now = cut(now.join(heads.join(nodes.select("node", "odd"), "node"), "node"))
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"), F.col("odd").alias("odd_b"), F.col("head.key").alias("head_b"))
-            differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-            near = differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-            least = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
-            reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
-            before = F.filter("head", lambda h: h < F.struct("place", "key"))
-            earlier = F.arrays_overlap(F.transform(before, lambda h: h["key"]), F.col("head_b"))
-            met = now.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & lengths(F.col("n"), F.col("m")) & (reach >= least) & near & ~earlier).select(F.col("node").alias("a"), "b")
-        found = verify(met.distinct(), prefixes, texts, percent)
+            met = all_pairs(ix, now)
+        found = verify(ix, met)
         links = found if links is None else cut(links.unionAll(found))
         if not links.isEmpty():
             comp = components(links)
-        elif comp is None:
-            comp = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    named = reps if comp is None else reps.join(comp, "node", "left")
-    named = named.withColumn("comp", F.coalesce(F.col("comp"), F.col("node")) if comp is not None else F.col("node"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    table = named.join(least, "comp").select(F.col("node").alias("of"), "component_id")
-    out = of.join(table, (of["node"] == table["of"]) & (of["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """docs, of each group of linked documents the one with the smallest id; rows without id stay."""
-    gone = groups(docs, text_col, id_col, **how).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    return links, comp
+
+
+def named(ix: Index, comp: DataFrame | None, key: list[str]) -> DataFrame:
+    """(of, and the smallest `key` of its component under `low`) for the nodes that have links or more than one row."""
+    rows = ix.of.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min(F.struct(*key)).alias("low"), F.count("*").alias("rows"))
+    if comp is None:
+        return bounded(cut(rows.filter("rows > 1").select(F.col("node").alias("of"), "low")))
+    comp = comp.unionAll(comp.select(F.col("comp").alias("node"), "comp").distinct())
+    some = rows.join(comp, "node", "left").filter("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
+    some = cut(some.select("node", "comp", "low"))
+    least = some.groupBy("comp").agg(F.min("low").alias("low"))
+    return bounded(cut(some.drop("low").join(bounded(cut(least)), "comp").select(F.col("node").alias("of"), "low")))
+
+
+def tied(ix: Index, links: DataFrame | None) -> DataFrame | None:
+    """links, and pairs of the nodes that share an id."""
+    ids = ix.of.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b")
+    ids = cut(ids.select("doc_id", "a"))
+    if ids.isEmpty():
+        return None
+    more = ix.of.filter("n > 0").join(ids, "doc_id").filter("node != a").select("a", F.col("node").alias("b"))
+    return more if links is None else links.unionAll(more)
+
+
+def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, percent: int = 85, small: int = SMALL, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id (smallest id that links lead to, its own included)."""
+    ix = prepared(docs, text_col, id_col, k, percent, small)
+    links, comp = joined(ix, pivot_rounds)
+    more = tied(ix, links)
+    if more is not None:
+        comp = components(more)
+    table = named(ix, comp, ["doc_id"])
+    out = ix.of.join(table, (ix.of["node"] == table["of"]) & (ix.of["n"] > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low.doc_id", "doc_id")).alias("component_id"))
+
+
+def links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, percent: int = 85, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, as (a, b) of the smallest ids of both, and the membership (doc_id, rep)."""
+    ix = prepared(docs, text_col, id_col, k, percent, small)
+    found, _ = joined(ix, 0)
+    of = lambda side, name: ix.reps.select(F.col("node").alias(side), F.col("doc_id").alias(name))
+    pairs = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs, ix.of.filter("n > 0").join(of("node", "rep"), "node").select("doc_id", "rep")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, percent: int = 85, small: int = SMALL, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """docs, of each group of linked texts the row with the smallest id; rows without id stay.
+
+    Rows equal in id and text stay or go together.  Another text under an id that goes is not touched.
+    """
+    ix = prepared(docs, text_col, id_col, k, percent, small)
+    _, comp = joined(ix, pivot_rounds)
+    table = named(ix, comp, ["doc_id", "hash"])
+    rows = ix.of.filter("doc_id is not null and n > 0").join(table, F.col("node") == F.col("of"))
+    gone = rows.filter(F.struct("doc_id", "hash") != F.col("low")).select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
+    gone = bounded(cut(gone))
+    return docs.join(gone, (docs[id_col].cast("long") == gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_hash"]), "left_anti")
 
 
 def op8_jaccard_join(spark, sf_dir):

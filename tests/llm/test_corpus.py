@@ -69,6 +69,49 @@ def test_bpe_pieces_do_not_change_ids():
     assert [i for p in bpe.pieces(text, 50) for i in codec.bpe.encode_ordinary(p)] == codec.bpe.encode_ordinary(text)
 
 
+def test_bpe_long_unbroken_runs(spark):
+    codec = bpe.Codec.of(*bpe.rank_file())
+    plain = codec.bpe.encode_ordinary
+    for run in (" " * 5000, "\n" * 4096, " \n" * 3000, "\u3000" * 4500, " " * 4999 + "\t"):
+        for text in (f"a{run}b", f"a {run}", run, f"{run}!", f"a{run}b c{run}\n d{run}"):
+            assert codec.encode(text) == plain(text)
+    two = 2_000_000
+    texts = ["a" + " " * two + "b", "a" + "\n" * two, "x" * two, "7" * two, "!" * two, "é" * (two // 2)]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), keep_ids=False).collect()
+    assert {x["doc_id"]: x["decoded_sha256"] for x in got} == {i: DIGEST(t) for i, t in enumerate(texts)}
+
+
+def test_bpe_digest_of_ids(docs, rows):
+    codec = bpe.Codec.of(*bpe.rank_file())
+    want = sorted((i, len(x := codec.bpe.encode_ordinary(t or "")), hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest()) for i, t, *_ in rows)
+    assert sorted((x["doc_id"], x["n_tokens"], x["ids_sha256"]) for x in bpe.encode(docs, keep_ids=False).collect()) == want
+
+
+def test_repeated_ids_keep_unrelated_texts(spark):
+    a, b, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "abo")
+    d = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(tuple(x) for x in jaccard.keep_one(d([(3, a), (7, a), (7, other), (None, a), (9, None)])).collect() if x["doc_id"])
+    assert kept == [(3, a), (7, other), (9, None)]
+    got = sorted({(x["doc_id"], x["component_id"]) for x in jaccard.groups(d([(3, a), (5, b), (7, a), (7, b)])).collect()})
+    assert got == [(3, 3), (5, 3), (7, 3)]
+    with pytest.raises(ValueError):
+        jaccard.groups(d([(1, "x")]), percent=50)
+    both = exact_dedup.exact_groups(d([(7, a), (7, a), (7, other), (None, a), (3, b)])).select("id", "keep_id", "group_size", "kept").collect()
+    assert sorted((x["id"] or 0, x["keep_id"], x["group_size"], x["kept"]) for x in both) == [(0, 7, 3, False), (3, 3, 1, True), (7, 7, 1, True), (7, 7, 3, False), (7, 7, 3, True)]
+
+
+def test_every_link(spark, docs, rows):
+    pairs, of = jaccard.links(docs, k=5, percent=80, small=64)
+    first = {}
+    for i, x in sets(rows, 5):
+        if x:
+            first[x] = min(i, first.get(x, i))
+    each = sorted(first.items(), key=lambda e: e[1])
+    want = {(min(i, j), max(i, j)) for n, (x, i) in enumerate(each) for y, j in each[:n] if 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(want) > 20 and sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert sorted(map(tuple, of.collect())) == sorted((i, first[x]) for i, x in sets(rows, 5) if x)
+
+
 def sets(rows, k):
     out = []
     for i, t, *_ in rows:
@@ -258,6 +301,6 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, corpus_pipeline.cut(stage(spark, docs, SF))
         if name != "tokens":
-            assert docs.columns == seen.columns
+            assert docs.columns == seen.columns + ["position"] * (name == "mixing")
         assert docs.count() <= before.count() or name == "mixing"
-    assert docs.count() > 100
+    assert docs.count() > 100 and docs.filter("position is null").isEmpty()
