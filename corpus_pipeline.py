@@ -10,36 +10,48 @@ from pulsegrid.llm.common import cut, documents, n_words
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from all labelled documents among them."""
+    """Documents that the quality classifier accepts; it learns from all labelled documents among them.
+
+    Null text is scored like empty text; without labels of both kinds every score is 0.5 and no document is accepted; an input
+    column `score` is carried like any other.
+    """
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     kept = quality.scored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text")), model)
     return kept.filter(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for the case of A-Z the one with the largest id."""
+    """Of documents equal but for the case of A-Z the one with the largest id; null text counts as empty."""
     return exact_dedup.keep_one(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard of 0.8 or more over five-word shingles the one with the smallest id."""
+    """Of documents linked by a Jaccard of 0.8 or more over five-word shingles the one with the smallest id.
+
+    Documents without words or without id stay.
+    """
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, as often as the mix takes them; those that it takes no word of go."""
+    """Documents in training order, as often as the mix takes them; those that it takes no word of (empty ones too) go.
+
+    `position`, the training time from 0 to 1, is a further column (in place of an input column of that name): files read again
+    don't keep the order of their rows.
+    """
     sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"))
-    return mixing.stream(mixing.mix(sized)).select("row.doc.*")
+    placed = mixing.stream(mixing.mix(sized))
+    return placed.select(*[F.col("row.doc")[c].alias(c) for c in docs.columns if c != "position"], "position")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of what they decode to."""
-    return bpe.encode(docs)
+    """Token ids of every document (at its training position, where there is one), with digests of the ids and of what they decode to; null text has none."""
+    return bpe.encode(docs, carry=[c for c in ["position"] if c in docs.columns])
 
 
 STAGES = [("quality", good), ("exact dedup", unique), ("near dedup", distinct), ("mixing", mixture), ("tokens", tokens)]
 
-#: Learned scores, hash orders and token ranks are beyond SQL; the tests hold the stages against brute force.
+#: Learned scores, hash orders and token ranks are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
