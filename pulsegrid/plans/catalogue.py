@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import wave
-from ..operators import clusters, histogram, pairs, peaks, timeops
-from .views import HITS, INTERVALS, RECORDS, hits, intervals, records, table
-
-GAP, WINDOW, CAP = 60_000_000, 300_000_000, 900_000_000
-DRIFT = 600_000_000
-T0, T1 = 5 * 86_400_000_000, 9 * 86_400_000_000
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import clusters, histogram, peaks
+from ..operators.order import numbered, running_sum
+from .registry import ORACLE_SQL, QUERIES, query
+from .views import HITS, RECORDS, hits, records, table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
+GAP, WINDOW, CAP = 60_000_000, 300_000_000, 900_000_000
+#: A cap that many islands pass, so that the sequential rule has work.
+TIGHT = 40_000_000
 
 
 def island_sql(gap: int, keys: str = "") -> str:
@@ -47,43 +39,137 @@ def hit_clusters_by_channel(spark, sf_dir):
     return c.groupBy("board", "channel", "island").agg(F.count("*").alias("n_hits"), F.min("start").alias("time_start"), F.max("end").alias("time_end"))
 
 
-@query()
-def hit_merged(spark, sf_dir):
-    """Gap and width rule per channel: a row per merged hit with its anchor, the member nearest to the middle."""
-    keys = ["board", "channel", "island", "part"]
-    c = clusters.greedy(hits(spark, sf_dir), GAP, CAP, ["board", "channel"])
-    ends = c.groupBy(*keys).agg(F.min("start").alias("time_start"), F.max("end").alias("time_end"), F.count("*").alias("component_count"))
+def greedy_sql(gap: int, cap: int, keys: str = "", same: str = "0") -> str:
+    """Islands, then their rows one after the other; the state is the open cluster."""
+    k = f"{keys}, " if keys else ""
+    on = " AND ".join(f"o.{c} = w.{c}" for c in [*filter(None, keys.split(", ")), "island"])
+    ok = f'o."start" - w.last <= {gap} AND greatest(w.last, o."end") - w.first <= {cap} AND o.kind = w.kind'
+    own = ", ".join(f"o.{c}" for c in filter(None, keys.split(", ")))
+    return island_sql(gap, keys).replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT *, {same} AS kind, row_number() OVER (PARTITION BY {k}island ORDER BY "start", hit_id) AS rn FROM i),
+w AS (SELECT {k}island, rn, hit_id, 0 AS part, "start" AS first, "end" AS last, kind FROM o WHERE rn = 1
+ UNION ALL SELECT {own + ", " if own else ""}o.island, o.rn, o.hit_id, CASE WHEN {ok} THEN w.part ELSE w.part + 1 END, CASE WHEN {ok} THEN w.first ELSE o."start" END,
+ CASE WHEN {ok} THEN greatest(w.last, o."end") ELSE o."end" END, CASE WHEN {ok} THEN w.kind ELSE o.kind END FROM w JOIN o ON {on} AND o.rn = w.rn + 1),
+c AS (SELECT o.*, CAST(w.part AS BIGINT) AS part FROM o JOIN w ON {on} AND o.rn = w.rn)"""
+
+
+CHANNEL = ["board", "channel"]
+
+
+def merged(spark, sf_dir):
+    return clusters.merged(hits(spark, sf_dir), GAP, TIGHT, CHANNEL)
+
+
+def merged_rows(c):
+    """A row per merged hit: bounds, anchor (the member nearest to the middle) and, if all members share a record, the sample window."""
+    keys = [*CHANNEL, "island", "part"]
+    shape = c.groupBy(*keys).agg(F.min("start").alias("time_start"), F.max("end").alias("time_end"), F.count("*").alias("component_count"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi"), F.min("sample_start").alias("s"), F.max("sample_end").alias("e"))
     near = F.struct(F.abs(F.col("start") + F.col("end") - F.col("time_start") - F.col("time_end")), F.col("start"), F.col("hit_id"))
-    return c.join(ends, keys).groupBy(*keys, "time_start", "time_end", "component_count").agg(F.min_by("hit_id", near).alias("anchor"))
+    anchor = F.min_by(F.struct("hit_id", "record_id", "dt"), near).alias("a")
+    m = c.join(shape, keys).groupBy(*keys, "time_start", "time_end", "component_count", "lo", "hi", "s", "e").agg(anchor)
+    one = F.col("lo") == F.col("hi")
+    window = [F.when(one, F.col(x)).otherwise(-1).alias(n) for x, n in (("s", "sample_start"), ("e", "sample_end"))]
+    width = F.when(one, F.col("e") - F.col("s")).otherwise(-1).cast("double").alias("width")
+    return m.select(*keys, "time_start", "time_end", "component_count", F.col("a.hit_id").alias("anchor"), F.col("a.record_id").alias("record_id"), F.col("a.dt").alias("dt"), *window, width, one.alias("is_single_record"))
 
 
-@query()
+MERGED_ROWS = """, m AS (SELECT board, channel, island, part, min("start") AS ts, max("end") AS te, count(*) AS n, min(record_id) AS lo, max(record_id) AS hi, min(sample_start) AS s, max(sample_end) AS e FROM c GROUP BY board, channel, island, part),
+a AS (SELECT m.*, c.hit_id, c.record_id, c.dt, row_number() OVER (PARTITION BY m.board, m.channel, m.island, m.part ORDER BY abs(c."start" + c."end" - m.ts - m.te), c."start", c.hit_id) AS k FROM m JOIN c USING (board, channel, island, part))
+SELECT board, channel, CAST(island AS BIGINT) AS island, part, ts AS time_start, te AS time_end, n AS component_count, hit_id AS anchor, record_id, dt,
+ CASE WHEN lo = hi THEN s ELSE -1 END AS sample_start, CASE WHEN lo = hi THEN e ELSE -1 END AS sample_end, CAST(CASE WHEN lo = hi THEN e - s ELSE -1 END AS DOUBLE) AS width, lo = hi AS is_single_record FROM a WHERE k = 1"""
+
+
+@query(greedy_sql(GAP, TIGHT, "board, channel", "dt") + MERGED_ROWS)
+def hit_merged(spark, sf_dir):
+    """Gap and width rule per channel and dt."""
+    return merged_rows(merged(spark, sf_dir))
+
+
+@query(f"WITH {HITS}, c AS (SELECT *, row_number() OVER (PARTITION BY board, channel ORDER BY \"start\", hit_id) - 1 AS island, CAST(0 AS BIGINT) AS part FROM hits)" + MERGED_ROWS)
+def hit_merged_disabled(spark, sf_dir):
+    """A gap of 0: every hit by itself."""
+    return merged_rows(clusters.merged(hits(spark, sf_dir), 0, TIGHT, CHANNEL))
+
+
+@query(greedy_sql(GAP, TIGHT, "board, channel", "dt") + " SELECT board, channel, CAST(island AS BIGINT) AS island, part, hit_id FROM c")
 def hit_merged_components(spark, sf_dir):
-    return clusters.greedy(hits(spark, sf_dir), GAP, CAP, ["board", "channel"]).select("board", "channel", "island", "part", "hit_id")
+    return merged(spark, sf_dir).select(*CHANNEL, "island", "part", "hit_id")
+
+
+@query(greedy_sql(GAP, TIGHT, "board, channel", "dt") + ', n AS (SELECT *, dense_rank() OVER (ORDER BY board, channel, island, part) - 1 AS cluster_index FROM c) SELECT cluster_index, hit_id AS hit_index FROM n')
+def hit_merge_clusters(spark, sf_dir):
+    """Clusters numbered channel by channel."""
+    c = merged(spark, sf_dir)
+    keys = [*CHANNEL, "island", "part"]
+    return c.join(numbered(c.select(*keys).distinct(), keys, "cluster_index"), keys).select("cluster_index", F.col("hit_id").alias("hit_index"))
+
+
+def peaklet_members(spark, sf_dir):
+    """Gap and width rule over all channels, with peak_id from 0 in time order."""
+    c = clusters.greedy(hits(spark, sf_dir), GAP, CAP)
+    return c.join(numbered(c.select("island", "part").distinct(), ["island", "part"], "peak_id"), ["island", "part"])
+
 
+PEAKLETS = greedy_sql(GAP, CAP) + ", pk AS (SELECT *, dense_rank() OVER (ORDER BY island, part) - 1 AS peak_id FROM c)"
 
-@query()
+
+@query(PEAKLETS + """, s AS (SELECT peak_id, min("start") AS time_start, max("end") AS time_end, count(*) AS n_hits, count(DISTINCT (board, channel)) AS n_channels, CAST(sum(area) AS BIGINT) AS area FROM pk GROUP BY peak_id)
+SELECT *, (time_start + time_end) // 2 AS center_time, CAST(sum(n_hits) OVER (ORDER BY peak_id) - n_hits AS BIGINT) AS component_offset FROM s""")
 def peaklets(spark, sf_dir):
-    """Gap and width rule over all channels."""
-    return clusters.summary(clusters.greedy(hits(spark, sf_dir), GAP, CAP), ["island", "part"])
+    s = clusters.summary(peaklet_members(spark, sf_dir), ["peak_id"])
+    d = running_sum(s, F.col("n_hits"), ["peak_id"], "_after")
+    return d.withColumn("component_offset", F.col("_after") - F.col("n_hits")).drop("_after")
 
 
-@query()
-def df_events(spark, sf_dir):
+@query(PEAKLETS + " SELECT peak_id, hit_id AS merged_index FROM pk")
+def peaklet_components(spark, sf_dir):
+    return peaklet_members(spark, sf_dir).select("peak_id", F.col("hit_id").alias("merged_index"))
+
+
+ANCHORED = f"""WITH RECURSIVE {HITS}, p AS (SELECT *, lag("start") OVER (ORDER BY "start", hit_id) AS prev FROM hits),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR "start" - prev > {WINDOW} THEN 1 ELSE 0 END) OVER (ORDER BY "start", hit_id) - 1 AS island FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY "start", hit_id) AS rn FROM i),
+w AS (SELECT island, rn, 0 AS part, "start" AS first FROM o WHERE rn = 1
+ UNION ALL SELECT o.island, o.rn, CASE WHEN o."start" > w.first + {WINDOW} THEN w.part + 1 ELSE w.part END, CASE WHEN o."start" > w.first + {WINDOW} THEN o."start" ELSE w.first END FROM w JOIN o ON o.island = w.island AND o.rn = w.rn + 1),
+m AS (SELECT CAST(o.island AS BIGINT) AS island, CAST(w.part AS BIGINT) AS part, list({{'channel': channel, 'time': "start", 'hit_id': hit_id, 'area': area, 'height': height}} ORDER BY channel, "start", hit_id) AS m FROM o JOIN w ON o.island = w.island AND o.rn = w.rn GROUP BY 1, 2),
+e AS (SELECT island, part, len(m) AS n_hits, m[1].time AS t_min, m[-1].time AS t_max, m[-1].time - m[1].time AS dt, m FROM m)"""
+
+
+def event_windows(spark, sf_dir):
     h = hits(spark, sf_dir).withColumnRenamed("start", "t")
     return clusters.event_rows(clusters.anchored(h, WINDOW), ["island", "part"])
 
 
-@query()
+def joined(c):
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+
+
+@query(ANCHORED + """ SELECT island, part, n_hits, t_min, t_max, dt, array_to_string(list_transform(m, lambda x: x.channel), ',') AS channels, array_to_string(list_transform(m, lambda x: x.area), ',') AS areas,
+ array_to_string(list_transform(m, lambda x: x.height), ',') AS heights, array_to_string(list_transform(m, lambda x: x.time), ',') AS timestamps FROM e""")
+def df_events(spark, sf_dir):
+    """The lists of an event, in channel order, as text."""
+    return event_windows(spark, sf_dir).select("island", "part", "n_hits", "t_min", "t_max", "dt", *map(joined, ("channels", "areas", "heights", "timestamps")))
+
+
+def paired(events, window: int, n_channels: int = 2, first: int = 6):
+    """Events whose channel-ordered span is within the window, with the first lists' entries as columns."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    cols = [at(f"{c}s", i).alias(f"{c}_ch{first + i}") for c in ("area", "height") for i in range(n_channels)]
+    return events.filter(F.col("dt") <= window).select("island", "part", "n_hits", (F.element_at("timestamps", -1) - F.element_at("timestamps", 1)).alias("delta_t"), *cols)
+
+
+@query(ANCHORED + f" SELECT island, part, n_hits, t_max - t_min AS delta_t, m[1].area AS area_ch6, m[2].area AS area_ch7, m[1].height AS height_ch6, m[2].height AS height_ch7 FROM e WHERE dt <= {WINDOW // 2}")
 def df_paired(spark, sf_dir):
-    e = df_events(spark, sf_dir).filter((F.col("dt") <= WINDOW) & (F.col("n_hits") >= 2))
-    return e.select("island", "part", "n_hits", (F.element_at("timestamps", -1) - F.element_at("timestamps", 1)).alias("delta_t"), F.get("areas", F.lit(0)).alias("area_ch6"), F.get("areas", F.lit(1)).alias("area_ch7"))
+    return paired(event_windows(spark, sf_dir), WINDOW // 2)
+
+
+@query(ANCHORED + f" SELECT island, part, n_hits, t_max - t_min AS delta_t, m[1].area AS area_ch6, m[2].area AS area_ch7, m[1].height AS height_ch6, m[2].height AS height_ch7 FROM e WHERE dt <= {WINDOW} AND n_hits >= 2")
+def df_paired_custom(spark, sf_dir):
+    """Pairing by the caller's own function of the events."""
+    return event_windows(spark, sf_dir).transform(lambda e: paired(e.filter("n_hits >= 2"), WINDOW))
 
 
 @query(island_sql(GAP) + ', m AS (SELECT island, hit_id, "start", "start" - lag("start") OVER (PARTITION BY island ORDER BY "start", hit_id) AS dt_start_to_start, "start" - lag("end") OVER (PARTITION BY island ORDER BY "start", hit_id) AS dt_end_to_start FROM i) SELECT CAST(island AS BIGINT) AS island, hit_id, dt_start_to_start, dt_end_to_start FROM m')
 def hit_intervals(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("island").orderBy("start", "hit_id")
     return clusters.islands(hits(spark, sf_dir), GAP).select("island", "hit_id", (F.col("start") - F.lag("start").over(w)).alias("dt_start_to_start"), (F.col("start") - F.lag("end").over(w)).alias("dt_end_to_start"))
 
@@ -161,115 +247,6 @@ def waveform_sum(spark, sf_dir):
     return x.groupBy("channel", "sample").agg(F.sum("v").cast("long").alias("total"))
 
 
-# ---- time
-
-@query(f"WITH {INTERVALS} SELECT row_id, time, endtime FROM intervals WHERE time < {T1} AND endtime > {T0}")
-def time_select(spark, sf_dir):
-    return timeops.select_range(timeops.endtime(intervals(spark, sf_dir)), T0, T1).select("row_id", "time", "endtime")
-
-
-@query(f"WITH {INTERVALS} SELECT row_id, time, endtime FROM intervals WHERE time >= {T0} AND endtime <= {T1}")
-def time_select_strict(spark, sf_dir):
-    return timeops.select_range(timeops.endtime(intervals(spark, sf_dir)), T0, T1, True).select("row_id", "time", "endtime")
-
-
-@query(f"""WITH {INTERVALS}, a AS (SELECT *, greatest(0, CAST(ceil(({T0} - time) / dt) AS BIGINT)) AS skip FROM intervals), b AS (SELECT row_id, dt, time + skip * dt AS time, length - skip AS rest FROM a),
-c AS (SELECT row_id, dt, time, least(rest, CAST(floor(({T1} - time) / dt) AS BIGINT)) AS length FROM b) SELECT row_id, time, length, time + dt * length AS endtime FROM c WHERE length > 0""")
-def time_clip(spark, sf_dir):
-    return timeops.clip(intervals(spark, sf_dir), T0, T1).select("row_id", "time", "length", "endtime")
-
-
-@query(f"""WITH {INTERVALS}, p AS (SELECT *, max(endtime) OVER (ORDER BY time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM intervals),
-s AS (SELECT *, sum(CASE WHEN prev IS NULL OR time - prev > {WINDOW} THEN 1 ELSE 0 END) OVER (ORDER BY time, row_id) - 1 AS segment FROM p)
-SELECT CAST(segment AS BIGINT) AS segment, count(*) AS n, min(time) AS t_min, max(endtime) AS t_max FROM s GROUP BY segment""")
-def split_by_breaks(spark, sf_dir):
-    s = timeops.breaks(timeops.endtime(intervals(spark, sf_dir)), WINDOW)
-    return s.groupBy("segment").agg(F.count("*").alias("n"), F.min("time").alias("t_min"), F.max("endtime").alias("t_max"))
-
-
-@query(f"""WITH {INTERVALS}, w AS (SELECT row_id, length, unnest(range(time // 3600000000, greatest(time // 3600000000, (endtime - 1) // 3600000000) + 1)) AS "window" FROM intervals)
-SELECT "window", count(*) AS n, CAST(sum(length) AS BIGINT) AS samples FROM w GROUP BY "window" """)
-def split_by_time(spark, sf_dir):
-    w = timeops.tumbling(timeops.endtime(intervals(spark, sf_dir)), 3_600_000_000, 0)
-    return w.groupBy("window").agg(F.count("*").alias("n"), F.sum("length").alias("samples"))
-
-
-@query(f"""WITH {INTERVALS}, c AS (SELECT *, time < lag(time) OVER (PARTITION BY channel ORDER BY row_id) AS back, endtime > lead(time) OVER (PARTITION BY channel ORDER BY time, row_id) AS lap FROM intervals)
-SELECT channel, count(*) AS n, count(*) FILTER (back) AS steps_back, count(*) FILTER (lap) AS overlaps, min(time) AS t_min, max(endtime) AS t_max FROM c GROUP BY channel""")
-def order_checks(spark, sf_dir):
-    return timeops.order_checks(timeops.endtime(intervals(spark, sf_dir)), ["channel"])
-
-
-@query(f"WITH {HITS} SELECT DISTINCT board, channel FROM hits")
-def distinct_channels(spark, sf_dir):
-    return hits(spark, sf_dir).select("board", "channel").distinct()
-
-
-# ---- peaks, pairs, events
-
-S1S2 = HITS + """, s1 AS (SELECT hit_id AS peak_id, "start" AS t, area FROM hits WHERE event_type = 'click'), s2 AS (SELECT hit_id AS peak_id, "start" AS t, area FROM hits WHERE event_type = 'purchase'),
-pairs AS (SELECT s1.peak_id AS s1_id, s2.peak_id AS s2_id, s2.t - s1.t AS drift, s1.area AS s1_area, s2.area AS s2_area FROM s1 JOIN s2 ON s2.t - s1.t BETWEEN 0 AND """ + str(DRIFT) + ")"
-
-
-def sides(spark, sf_dir):
-    h = hits(spark, sf_dir).withColumnsRenamed({"hit_id": "peak_id", "start": "t"})
-    return tuple(h.filter(F.col("event_type") == k).select("peak_id", "t", "area") for k in ("click", "purchase"))
-
-
-@query(f"""WITH {S1S2}, n AS (SELECT *, count(*) OVER (PARTITION BY s2_id) AS n_s1, count(*) OVER (PARTITION BY s1_id) AS n_s2 FROM pairs)
-SELECT s1_id, s2_id, drift, n_s1, n_s2, 2 + CASE WHEN n_s1 > 1 THEN 16 ELSE 0 END + CASE WHEN n_s2 > 1 THEN 32 ELSE 0 END AS flags FROM n""")
-def s1_s2_pair_candidates(spark, sf_dir):
-    return pairs.candidates(*sides(spark, sf_dir), DRIFT).select("s1_id", "s2_id", "drift", "n_s1", "n_s2", "flags")
-
-
-@query(f"""WITH {S1S2} SELECT peak_id AS s1_id, -1 AS s2_id, -1 AS drift, 128 AS flags FROM s1 WHERE peak_id NOT IN (SELECT s1_id FROM pairs)
-UNION ALL SELECT -1, peak_id, -1, 256 FROM s2 WHERE peak_id NOT IN (SELECT s2_id FROM pairs)""")
-def s1_s2_orphans(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
-    p = pairs.candidates(a, b, DRIFT)
-    return pairs.orphans(a, p, "s1").unionByName(pairs.orphans(b, p, "s2"))
-
-
-@query(f"""WITH {S1S2}, r AS (SELECT *, row_number() OVER (PARTITION BY s2_id ORDER BY s1_area DESC, s1_id) AS k FROM pairs)
-SELECT s1_id, s2_id, drift, s1_area, s2_area, row_number() OVER (PARTITION BY s1_id ORDER BY s1_area DESC, s2_id) AS rank_s1 FROM r WHERE k = 1""")
-def s1_s2_pairs(spark, sf_dir):
-    return pairs.select(pairs.candidates(*sides(spark, sf_dir), DRIFT)).select("s1_id", "s2_id", "drift", "s1_area", "s2_area", "rank_s1")
-
-
-@query(f"""WITH {S1S2}, r AS (SELECT *, row_number() OVER (PARTITION BY s2_id ORDER BY drift, s1_id) AS k FROM pairs) SELECT s1_id, s2_id, drift FROM r WHERE k = 1""")
-def s1_s2_pairs_nearest(spark, sf_dir):
-    return pairs.select(pairs.candidates(*sides(spark, sf_dir), DRIFT), "nearest").select("s1_id", "s2_id", "drift")
-
-
-SPECS = {"s1": {"accept": [{"width": (0, 20_000_000), "area": (0, 3000)}], "reject": [{"channel": (7, 7)}]}, "s2": {"accept": [{"width": (30_000_000, None), "area": (3000, None)}, {"channel": (2, 2)}]}}
-
-
-@query(f"""WITH {HITS}, p AS (SELECT *, "end" - "start" AS width FROM hits) SELECT hit_id, CASE WHEN width BETWEEN 0 AND 20000000 AND area BETWEEN 0 AND 3000 AND NOT channel = 7 THEN 1
- WHEN (width >= 30000000 AND area >= 3000) OR channel = 2 THEN 2 ELSE 0 END AS label FROM p""")
-def peak_classification(spark, sf_dir):
-    return peaks.classify(hits(spark, sf_dir).withColumn("width", F.col("end") - F.col("start")), SPECS).select("hit_id", "label")
-
-
-def layout(spark):
-    """Eight sensors on two boards."""
-    return spark.createDataFrame([(c % 2, c, float(c % 3 - 1), float(c % 4 - 1), float(1 + c % 2)) for c in range(8)], "board long, channel long, x double, y double, gain double")
-
-
-LAYOUT = "layout AS (SELECT c % 2 AS board, c AS channel, CAST(c % 3 - 1 AS DOUBLE) AS x, CAST(c % 4 - 1 AS DOUBLE) AS y, CAST(1 + c % 2 AS DOUBLE) AS gain FROM range(8) t(c))"
-
-
-@query(f"WITH {HITS}, {LAYOUT}, " + island_sql(GAP).split("events),", 1)[1] + """, a AS (SELECT CAST(island AS BIGINT) AS island, board, channel, sum(area) AS area FROM i GROUP BY island, board, channel)
-SELECT island, round(sum(area / gain * x) / sum(area / gain), 9) AS x, round(sum(area / gain * y) / sum(area / gain), 9) AS y, count(*) AS n FROM a JOIN layout USING (board, channel) WHERE area > 0 GROUP BY island HAVING sum(area / gain) > 0""")
-def center_of_gravity(spark, sf_dir):
-    a = peaks.channel_areas(clusters.islands(hits(spark, sf_dir), GAP), "island")
-    return peaks.center_of_gravity(a, layout(spark), "island").select("island", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "n")
-
-
-@query(f"WITH {HITS}, {LAYOUT} SELECT hit_id, area / gain AS area_pe FROM hits JOIN layout USING (board, channel)")
-def pe_calibration(spark, sf_dir):
-    return peaks.calibrate(hits(spark, sf_dir), layout(spark).select("board", "channel", "gain")).select("hit_id", "area_pe")
-
-
 # ---- histograms and samples
 
 RANGES = {"l_quantity": (0.0, 50.0), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.08)}
@@ -296,13 +273,56 @@ def adaptive_sample_count(spark, sf_dir):
     return b.withColumn("size", histogram.sample_size(F.col("n")))
 
 
-@query()
+XE, YE = histogram.linear_edges(0.0, 10_000.0, 8), [0.0, 1.0, 3.0, 4.0, 8.0]
+
+
+def edge_sql(c: str, edges: list[float]) -> str:
+    """Bin by explicit edges, the last one inclusive."""
+    e = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in edges) + "]"
+    return f"CASE WHEN {c} BETWEEN {edges[0]!r} AND {edges[-1]!r} THEN CAST(least({len(edges) - 1}, len(list_filter({e}, lambda e: e <= {c}))) - 1 AS INTEGER) END"
+
+
+STRATA = f"""WITH {HITS}, v AS (SELECT hit_id, CAST(area AS DOUBLE) AS x, CAST(channel AS DOUBLE) AS y FROM hits), b AS (SELECT *, {edge_sql("x", XE)} AS xb, {edge_sql("y", YE)} AS yb FROM v),
+d AS (SELECT *, {XE} AS xe, {YE} AS ye FROM b WHERE xb IS NOT NULL AND yb IS NOT NULL),
+f AS (SELECT *, (x - (CAST(xe[xb + 1] AS DOUBLE) + xe[xb + 2]) / 2) / (CAST(xe[xb + 2] AS DOUBLE) - xe[xb + 1]) AS dx, (y - (CAST(ye[yb + 1] AS DOUBLE) + ye[yb + 2]) / 2) / (CAST(ye[yb + 2] AS DOUBLE) - ye[yb + 1]) AS dy FROM d),
+r AS (SELECT *, count(*) OVER (PARTITION BY xb, yb) AS bin_n, row_number() OVER (PARTITION BY xb, yb ORDER BY dx * dx + dy * dy, hit_id) = 1 AS representative FROM f),
+q AS (SELECT *, CASE WHEN bin_n <= 4 THEN bin_n ELSE least(bin_n, 12, CAST(ceil(4 + 8 * (1 - exp(-(bin_n - 4) / CAST(8 AS DOUBLE)))) AS BIGINT)) END AS size,
+ row_number() OVER (PARTITION BY xb, yb ORDER BY representative DESC, md5(CAST(hit_id AS VARCHAR) || ':0'), hit_id) AS k FROM r)"""
+
+
+def strata(spark, sf_dir):
+    h = hits(spark, sf_dir).withColumns({"x": F.col("area").cast("double"), "y": F.col("channel").cast("double")})
+    return histogram.stratified(h, "x", "y", (8, YE), ((0.0, 10_000.0), None), "hit_id")
+
+
+@query(STRATA + " SELECT hit_id, xb, yb, bin_n, representative FROM q WHERE k <= size")
 def stratified_sample(spark, sf_dir):
-    h = hits(spark, sf_dir).withColumn("x", F.col("area").cast("double"))
-    return histogram.stratified(h.withColumn("y", F.col("channel").cast("double")), "x", "y", (0.0, 10_000.0), (0.0, 8.0), 8, "hit_id").select("hit_id", "xb", "yb", "bin_n", "representative")
+    return strata(spark, sf_dir)[0].select("hit_id", "xb", "yb", "bin_n", "representative")
+
+
+@query(STRATA + " SELECT xb, yb, bin_n, max(CASE WHEN representative THEN hit_id END) AS near, max(size) AS n_sampled, max(size) / bin_n AS sampling_fraction FROM q GROUP BY xb, yb, bin_n")
+def stratified_bins(spark, sf_dir):
+    return strata(spark, sf_dir)[1]
+
+
+QE, PE = histogram.symlog_edges(-40.0, 50.0, 9, 2.0), histogram.log_edges(0.01, 0.11, 5)
+
+
+@query(f"WITH v AS (SELECT l_quantity - 25 AS x, l_discount AS y, l_tax AS w FROM lineitem), b AS (SELECT {edge_sql('x', QE)} AS xb, {edge_sql('y', PE)} AS yb, w FROM v) SELECT xb, yb, round(sum(w), 6) AS n FROM b WHERE xb IS NOT NULL AND yb IS NOT NULL GROUP BY xb, yb")
+def histogram_2d(spark, sf_dir):
+    """Weighted, with symlog and log edges."""
+    v = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") - 25).alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("w"))
+    return histogram.histogram_2d(v, "x", "y", QE, PE, "w").withColumn("n", F.round("n", 6))
+
+
+@query(f"WITH b AS (SELECT {edge_sql('l_quantity', [0.0, 10.0, 15.0, 50.0])} AS bin FROM lineitem), c AS (SELECT bin, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY bin) SELECT bin, n / sum(n) OVER () / CAST(CASE bin WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 35 END AS DOUBLE) AS n FROM c")
+def histogram_density(spark, sf_dir):
+    return histogram.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", [0.0, 10.0, 15.0, 50.0], density=True)
 
 
-@query(f"""WITH {HITS} SELECT hit_id, sqrt(CAST(board * board + channel * channel AS DOUBLE)) AS r, CAST(board * board + channel * channel AS BIGINT) AS r2 FROM hits""")
+@query(f"""WITH {HITS}, e AS (SELECT hit_id, CAST(channel - 3 AS DOUBLE) AS x, CAST(board * 2 - 1 AS DOUBLE) AS y, area AS s1_area, height - 5000 AS s2_area FROM hits)
+SELECT hit_id, x * x + y * y AS r2, round(sqrt(x * x + y * y), 9) AS r, round(atan2(y, x), 9) AS theta, round(cos(atan2(y, x)), 9) AS cos_theta, CASE WHEN s1_area > 0 THEN round(log10(s1_area), 9) ELSE 'nan'::DOUBLE END AS log10_s1, CASE WHEN s2_area > 0 THEN round(log10(s2_area), 9) ELSE 'nan'::DOUBLE END AS log10_s2 FROM e""")
 def dashboard_frame(spark, sf_dir):
-    r2 = F.col("board") * F.col("board") + F.col("channel") * F.col("channel")
-    return hits(spark, sf_dir).select("hit_id", F.sqrt(r2.cast("double")).alias("r"), r2.alias("r2"))
+    e = hits(spark, sf_dir).select("hit_id", (F.col("channel") - 3).alias("x"), (F.col("board") * 2 - 1).alias("y"), F.col("area").alias("s1_area"), (F.col("height") - 5000).alias("s2_area"))
+    d = peaks.dashboard(e).drop("x", "y", "s1_area", "s2_area")
+    return d.withColumns({c: F.round(c, 9) for c in ("r", "theta", "cos_theta", "log10_s1", "log10_s2")})
