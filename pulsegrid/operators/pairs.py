@@ -1,11 +1,37 @@
-"""S1-S2 pairing: range join by bins, orphans, ambiguity, scores and selection."""
+"""S1-S2 pairing: labels, range join by bins, orphans, ambiguity, scores, selection and masks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AMBIGUOUS_S1, AMBIGUOUS_S2, CLOSE, ORPHAN_S1, ORPHAN_S2 = 1 << 4, 1 << 5, 1 << 6, 1 << 7, 1 << 8
+from .order import numbered
+
+#: Flag bits of a pair.
+VALID_TIME, AMBIGUOUS_S1, AMBIGUOUS_S2, CLOSE, ORPHAN_S1, ORPHAN_S2 = 1 << 0, 1 << 4, 1 << 5, 1 << 6, 1 << 7, 1 << 8
+SIDE_COLUMNS = ("width", "n_channels")
+MODES = ("largest", "nearest", "best_score", "all")
+
+
+def labelled(peaks: DataFrame, labels: DataFrame, order: str | None = None) -> DataFrame:
+    """peaks with `label` by peak_id; without one it is 0.  Of several labels the last by `order` counts (the largest without it)."""
+    last = F.max("label") if order is None else F.max_by("label", order)
+    one = labels.groupBy("peak_id").agg(last.alias("label"))
+    return peaks.drop("label").join(one, "peak_id", "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("int"))
+
+
+def sides(peaks: DataFrame, min_s1_area: float | None = None, min_s2_area: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The S1 (label 1) and S2 (label 2) peaks of at least the given areas."""
+    s1, s2 = peaks.filter("label = 1"), peaks.filter("label = 2")
+    enough = lambda side, least: side if least is None else side.filter(F.col("area") >= least)
+    return enough(s1, min_s1_area), enough(s2, min_s2_area)
+
+
+def log_ratio(s1_area: Column, s2_area: Column) -> Column:
+    """log10(s2 / s1); 0 where s1 is not positive, minus infinity or NaN where s2 is 0 or negative."""
+    ratio = s2_area / s1_area
+    value = F.when(ratio > 0, F.log10(ratio)).when(ratio == 0, float("-inf")).otherwise(float("nan"))
+    return F.when(s1_area > 0, value).otherwise(0.0)
 
 
 def candidates(s1: DataFrame, s2: DataFrame, max_drift: int, min_drift: int = 0) -> DataFrame:
@@ -15,49 +41,112 @@ def candidates(s1: DataFrame, s2: DataFrame, max_drift: int, min_drift: int = 0)
     and the join is an equality with a residual range.
     """
     width = max(1, max_drift)
-    more = lambda side, name: [F.col(c).alias(f"{name}_{c}") for c in ("width", "n_channels") if c in side.columns]
-    a = s1.select(*more(s1, "s1"), F.col("peak_id").alias("s1_id"), F.col("t").alias("s1_t"), F.col("area").alias("s1_area"), F.floor(F.col("t") / width).alias("bin"))
+    more = lambda side, name: [F.col(c).alias(f"{name}_{c}") for c in SIDE_COLUMNS if c in side.columns]
+    named = lambda side, name: [F.col(c).alias(f"{name}_{n}") for c, n in (("peak_id", "id"), ("t", "t"), ("area", "area"))] + more(side, name)
     own = F.floor(F.col("t") / width)
-    b = s2.select(*more(s2, "s2"), F.col("peak_id").alias("s2_id"), F.col("t").alias("s2_t"), F.col("area").alias("s2_area"), F.explode(F.array(own - 1, own)).alias("bin"))
+    a = s1.select(*named(s1, "s1"), own.alias("bin"))
+    b = s2.select(*named(s2, "s2"), F.explode(F.array(own - 1, own)).alias("bin"))
     drift = F.col("s2_t") - F.col("s1_t")
     p = a.join(b, "bin").filter(drift.between(min_drift, max_drift)).drop("bin").withColumn("drift", drift)
-    p = p.withColumns({"n_s1": F.count("*").over(Window.partitionBy("s2_id")), "n_s2": F.count("*").over(Window.partitionBy("s1_id")), "log10_ratio": F.when((F.col("s1_area") > 0) & (F.col("s2_area") > 0), F.log10(F.col("s2_area") / F.col("s1_area"))).otherwise(0.0)})
-    return p.withColumn("flags", F.lit(2).bitwiseOR(F.when(F.col("n_s1") > 1, AMBIGUOUS_S1).otherwise(0)).bitwiseOR(F.when(F.col("n_s2") > 1, AMBIGUOUS_S2).otherwise(0)))
+    by = {"n_s1": "s2_id", "n_s2": "s1_id"}
+    p = p.withColumns({n: F.count("*").over(Window.partitionBy(k)) for n, k in by.items()})
+    bit = lambda when, value: F.when(when, value).otherwise(0)
+    flags = F.lit(VALID_TIME).bitwiseOR(bit(F.col("n_s1") > 1, AMBIGUOUS_S1)).bitwiseOR(bit(F.col("n_s2") > 1, AMBIGUOUS_S2))
+    return p.withColumns({"log10_ratio": log_ratio(F.col("s1_area"), F.col("s2_area")), "flags": flags})
+
+
+def with_pair_id(pairs: DataFrame) -> DataFrame:
+    """`pair_id` from 0 by S2 time, then S1 time (ties by the ids)."""
+    return numbered(pairs, ["s2_t", "s2_id", "s1_t", "s1_id"], "pair_id")
 
 
 def orphans(peaks: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """Peaks of one side ("s1" or "s2") without a candidate; the other side's id is -1."""
+    """Peaks of one side ("s1" or "s2") without a candidate; the other side's id, time and area are -1, -1 and 0."""
     left = peaks.join(pairs, peaks["peak_id"] == pairs[f"{side}_id"], "left_anti")
-    ids = {"s1": ("peak_id", F.lit(-1).cast("long"), ORPHAN_S1), "s2": (None, None, ORPHAN_S2)}[side]
-    one = F.col("peak_id") if side == "s1" else F.lit(-1).cast("long")
-    two = F.col("peak_id") if side == "s2" else F.lit(-1).cast("long")
-    return left.select(one.alias("s1_id"), two.alias("s2_id"), F.lit(-1).cast("long").alias("drift"), F.lit(ids[2]).alias("flags"))
+    none = F.lit(-1).cast("long")
+    own = lambda name, there, gone: there if side == name else gone
+    ids = [own(s, F.col("peak_id"), none).alias(f"{s}_id") for s in ("s1", "s2")]
+    rest = [own(s, F.col(c), F.lit(g)).cast(peaks.schema[c].dataType).alias(f"{s}_{c}") for s in ("s1", "s2") for c, g in (("t", -1), ("area", 0))]
+    return left.select(*ids, *rest, none.alias("drift"), F.lit(ORPHAN_S1 if side == "s1" else ORPHAN_S2).alias("flags"))
+
+
+def with_orphans(pairs: DataFrame, s1: DataFrame, s2: DataFrame, of_s1: bool = True, of_s2: bool = True) -> DataFrame:
+    """Candidates, then the orphans of the sides that are asked for; columns that an orphan has not are null."""
+    out = pairs
+    for side, peaks, wanted in (("s1", s1, of_s1), ("s2", s2, of_s2)):
+        if wanted:
+            out = out.unionByName(orphans(peaks, pairs, side), allowMissingColumns=True)
+    return out
 
 
-def select(pairs: DataFrame, mode: str = "largest", drift_ends: tuple[int, int] | None = None) -> DataFrame:
-    """Ranks each s2's pairs by score; keeps the best, with the distance to the second.  Ties go to the smaller s1 id.
+def time_score(pairs: DataFrame, larger: bool) -> DataFrame:
+    """pairs with `score_time`: 1 - drift scaled to [0, 1].
 
-    largest: log1p of the S1 area; nearest: 1 - drift scaled to [0, 1] over all pairs, or by drift_ends; best_score: 0.2
-    of that, 0.4 of the S1's quality and 0.2 of the S2's, which need s1_width, s1_n_channels and s2_n_channels; all: every
-    pair as it is, without score.  NaN scores come last.
+    The ends are taken over all rows that the area rule leaves, orphans (drift -1) among them.
     """
+    orphan = (F.col("s1_id") < 0) | (F.col("s2_id") < 0)
+    counted = orphan | (F.col("s2_area") > F.col("s1_area")) if larger else F.lit(True)
+    ends = pairs.filter(counted).agg(F.min("drift").alias("_lo"), F.max("drift").alias("_hi"))  # one row
+    scaled = (F.col("drift") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    joined = pairs.join(F.broadcast(ends))
+    return joined.withColumn("score_time", F.when(F.col("_hi") > F.col("_lo"), 1 - scaled).otherwise(1.0)).drop("_lo", "_hi")
+
+
+def qualities() -> tuple[Column, Column]:
+    """Quality of the S1 and of the S2."""
+    log = lambda c, least: F.log1p(F.greatest(F.col(c), F.lit(least)).cast("double"))
+    return log("s1_area", 0) + 0.5 * log("s1_n_channels", 1) - 0.5 * log("s1_width", 1), log("s2_area", 0) + 0.3 * log("s2_n_channels", 1)
+
+
+def select(pairs: DataFrame, mode: str = "largest", larger: bool = True, close: float = 0.1, chosen_only: bool = True) -> DataFrame:
+    """Ranks each s2's pairs by score and selects the best, with the distance to the second (infinite if there is none).
+
+    Orphans go; so do, if `larger`, pairs whose S2 is not larger than the S1.  largest: log1p of the S1 area; nearest:
+    see time_score; best_score: 0.2 of that, 0.4 of the S1's quality, 0.2 of the S2's (s1_width, s1_n_channels and
+    s2_n_channels are needed); all: every pair is selected without score or rank.  Ties go to the smaller s1 id, NaN scores come last.
+    """
+    if mode not in MODES:
+        raise ValueError(f"Unknown selection mode: {mode}")
+    p = time_score(pairs, larger) if mode in ("nearest", "best_score") else pairs
+    p = p.filter((F.col("s1_id") >= 0) & (F.col("s2_id") >= 0))
+    if larger:
+        p = p.filter(F.col("s2_area") > F.col("s1_area"))
     if mode == "all":
-        return pairs
+        return p.withColumn("selected", F.lit(True))
     if mode == "largest":
-        scored = pairs.withColumn("score", F.log1p("s1_area"))
-    elif mode in ("nearest", "best_score"):
-        # One row.
-        ends = pairs.agg(F.min("drift").alias("_lo"), F.max("drift").alias("_hi")) if drift_ends is None else pairs.sparkSession.createDataFrame([drift_ends], "_lo long, _hi long")
-        time = F.when(F.col("_hi") > F.col("_lo"), 1 - (F.col("drift") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)
-        score = time
-        if mode == "best_score":
-            log = lambda c, least: F.log1p(F.greatest(F.col(c), F.lit(least)).cast("double"))
-            score = 0.2 * time + 0.4 * (log("s1_area", 0) + 0.5 * log("s1_n_channels", 1) - 0.5 * log("s1_width", 1)) + 0.2 * (log("s2_area", 0) + 0.3 * log("s2_n_channels", 1))
-        scored = pairs.join(F.broadcast(ends)).withColumn("score", score).drop("_lo", "_hi")
+        score = F.when(F.col("s1_area") > -1, F.log1p("s1_area")).otherwise(float("nan"))
+    elif mode == "nearest":
+        score = F.col("score_time")
     else:
-        raise ValueError(f"Unknown selection mode: {mode}")
+        s1, s2 = qualities()
+        score = 0.2 * F.col("score_time") + 0.4 * s1 + 0.2 * s2
     w = Window.partitionBy("s2_id").orderBy(F.isnan("score"), F.desc("score"), "s1_id")
-    ranked = scored.withColumns({"rank_s2": F.row_number().over(w), "second": F.lead("score").over(w)})
-    best = ranked.filter("rank_s2 = 1").withColumn("delta", F.coalesce(F.col("score") - F.col("second"), F.lit(float("inf")))).drop("second")
-    best = best.withColumn("flags", F.when(F.col("delta") < 0.1, F.col("flags").bitwiseOR(CLOSE)).otherwise(F.col("flags")))
-    return best.withColumn("rank_s1", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.isnan("score"), F.desc("score"), "s2_id")))
+    ranked = p.withColumn("score", score).withColumns({"rank_s2": F.row_number().over(w), "_second": F.lead("score").over(w)})
+    best = F.col("rank_s2") == 1
+    delta = F.when(best, F.coalesce(F.col("score") - F.col("_second"), F.lit(float("inf"))))
+    ranked = ranked.withColumns({"selected": best, "delta": delta}).drop("_second")
+    is_close = best & ~F.isnan("delta") & (F.col("delta") < close)
+    ranked = ranked.withColumn("flags", F.when(is_close, F.col("flags").bitwiseOR(CLOSE)).otherwise(F.col("flags")))
+    of_s1 = Window.partitionBy("s1_id").orderBy(F.isnan("score"), F.desc("score"), "s2_id")
+    ranked = ranked.withColumn("rank_s1", F.row_number().over(of_s1))
+    return ranked.filter("selected") if chosen_only else ranked
+
+
+def mask(ranges: dict[str, tuple] | None = None, flags_any: int | None = None, flags_all: int | None = None, flags_none: int | None = None, selected: bool | None = None, custom: Column | None = None) -> Column:
+    """Whether a pair lies in the inclusive ranges {column: (low, high)} (None: open) and passes the flag tests.  NaN lies in no range."""
+    keep = F.lit(True)
+    for name, (low, high) in (ranges or {}).items():
+        c = F.col(name).cast("double")
+        for bound, there in ((low, lambda b, c=c: c >= b), (high, lambda b, c=c: c <= b)):
+            if bound is not None:
+                keep = keep & ~F.isnan(c) & there(bound)
+    bits = lambda m: F.col("flags").bitwiseAND(F.lit(m))
+    if flags_any is not None:
+        keep = keep & (bits(flags_any) != 0)
+    if flags_all is not None:
+        keep = keep & (bits(flags_all) == flags_all)
+    if flags_none is not None:
+        keep = keep & (bits(flags_none) == 0)
+    if selected is not None:
+        keep = keep & (F.col("selected") == selected)
+    return F.coalesce(keep if custom is None else keep & custom, F.lit(False))
