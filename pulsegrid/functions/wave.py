@@ -11,17 +11,24 @@ def signal(wave: Column, baseline: Column, positive: Column) -> Column:
     return F.transform(wave, lambda x: F.when(positive, x - baseline).otherwise(baseline - x))
 
 
-def basic_features(wave: Column, baseline: Column, positive: Column) -> dict[str, Column]:
-    """height, amp, area, max_abs_diff; 0 for a record without samples."""
-    some = lambda c: F.when(F.size(wave) > 0, c).otherwise(F.lit(0.0))
-    total = F.aggregate(wave, F.lit(0.0), lambda a, x: a + x)
-    flat = F.size(wave) * baseline
-    steps = F.zip_with(F.slice(wave, F.lit(2), F.greatest(F.lit(0), F.size(wave) - 1)), F.slice(wave, F.lit(1), F.greatest(F.lit(0), F.size(wave) - 1)), lambda a, b: F.abs(a - b))
+def basic_features(wave: Column, baseline: Column, positive: Column, height_range: tuple[int, int | None] = (0, None), area_range: tuple[int, int | None] = (0, None), fixed_baseline: Column | None = None) -> dict[str, Column]:
+    """height and amp over height_range, area over area_range (samples [start, end)), max_abs_diff over all; 0 where there is no sample.
+
+    fixed_baseline overrules the record's own where it is not null.
+    """
+    base = baseline if fixed_baseline is None else F.coalesce(fixed_baseline, baseline)
+    cut = lambda r: wave if tuple(r) == (0, None) else F.slice(wave, F.lit(r[0] + 1), F.greatest(F.lit(0), F.least(F.size(wave), F.lit(r[1] if r[1] is not None else 1 << 30)) - r[0]))
+    h, a = cut(height_range), cut(area_range)
+    some = lambda w, c: F.when(F.size(w) > 0, c).otherwise(F.lit(0.0))
+    total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    flat = F.size(a) * base
+    more = F.greatest(F.lit(0), F.size(wave) - 1)
+    steps = F.zip_with(F.slice(wave, F.lit(2), more), F.slice(wave, F.lit(1), more), lambda x, y: F.abs(x - y))
     return {
-        "height": some(F.when(positive, F.array_max(wave) - baseline).otherwise(baseline - F.array_min(wave)).cast("double")),
-        "amp": some((F.array_max(wave) - F.array_min(wave)).cast("double")),
-        "area": some(F.when(positive, total - flat).otherwise(flat - total)),
-        "max_abs_diff": some(F.coalesce(F.array_max(steps), F.lit(0)).cast("double")),
+        "height": some(h, F.when(positive, F.array_max(h) - base).otherwise(base - F.array_min(h)).cast("double")),
+        "amp": some(h, (F.array_max(h) - F.array_min(h)).cast("double")),
+        "area": some(a, F.when(positive, total - flat).otherwise(flat - total)),
+        "max_abs_diff": some(wave, F.coalesce(F.array_max(steps), F.lit(0)).cast("double")),
     }
 
 
@@ -32,11 +39,15 @@ def asymmetry(wave: Column, baseline: Column, positive: Column, cut: float = 0.7
     return F.coalesce((F.size(wave) > 0) & (swing > 0) & (h > 0) & (h <= swing) & (h >= cut * swing), F.lit(False))
 
 
-def threshold_hits(records: DataFrame, threshold: float, left: int = 2, right: int = 2) -> DataFrame:
+def threshold_hits(records: DataFrame, threshold: float | Column, left: int = 2, right: int = 2, keep: Column | None = None) -> DataFrame:
     """A row per run of samples at or beyond the threshold.  records: record_id, t, dt, wave, baseline, positive.
 
-    A record that never reaches the threshold is dropped before its samples are looked at one by one.
+    threshold may be a column (of a joined table of channels); keep is a mask of the records that are looked at.  A record
+    that never reaches the threshold is dropped before its samples are looked at one by one.
     """
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    records = (records if keep is None else records.filter(keep)).withColumn("_limit", limit)
+    threshold = F.col("_limit")
     reach = F.when(F.col("positive"), F.array_max("wave") >= F.col("baseline") + threshold).otherwise(F.array_min("wave") <= F.col("baseline") - threshold)
     over = F.transform(signal(F.col("wave"), F.col("baseline"), F.col("positive")), lambda x: x >= threshold)
     # Where a run begins: over here and not one before.

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+
 TO_PS = {"ps": 1, "ns": 1_000, "us": 1_000_000, "ms": 1_000_000_000, "s": 1_000_000_000_000}
 
 
@@ -49,8 +51,20 @@ def read_stream(spark: SparkSession, path: str, fmt: str = "vx2730") -> DataFram
     return parse(spark.readStream.text(path), FORMATS[fmt])
 
 
-def structure(rows: DataFrame, baseline_samples: int = 40, dt: int = 2) -> DataFrame:
-    """Records: baseline is the mean of the first samples, ids follow (timestamp, board, channel)."""
-    head = F.slice("wave", 1, baseline_samples)
-    base = F.aggregate(head, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(head), F.lit(1))
-    return rows.withColumns({"baseline": base, "dt": F.lit(dt), "event_length": F.size("wave"), "time": F.floor(F.col("timestamp") / 1000), "polarity": F.lit("unknown")})
+def structure(rows: DataFrame, baseline_samples: int | tuple[int, int] = (0, 40), dt: int = 2, length: int | None = None) -> DataFrame:
+    """Rows (timestamp, board, channel, wave) as records with ids from 0 by (timestamp, board, channel, file).
+
+    The baseline is the mean of the readable samples in a range, counted from the first sample (a number: the first so many); without any
+    it is null.  With a length waves are cut, or filled up with 0; event_length stays the true one, at most the length.
+    """
+    first, last = baseline_samples if isinstance(baseline_samples, tuple) else (0, baseline_samples)
+    head = F.filter(F.slice("wave", first + 1, max(0, last - first)), lambda x: x.isNotNull())
+    total = F.aggregate(head, F.lit(0.0), lambda a, x: a + x)
+    n = F.coalesce(F.size("wave"), F.lit(0))
+    r = rows.withColumns({"baseline": F.when(F.size(head) > 0, total / F.size(head)), "dt": F.lit(dt), "polarity": F.lit("unknown"), "time": F.floor(F.col("timestamp") / 1000)})
+    r = r.withColumn("event_length", n if length is None else F.least(n, F.lit(length)))
+    if length is not None:
+        zeros = F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(length) - n))
+        r = r.withColumn("wave", F.slice(F.concat("wave", zeros), 1, length))
+    order = [c for c in ("timestamp", "board", "channel", "file") if c in r.columns]
+    return numbered(r, order, "record_id")
