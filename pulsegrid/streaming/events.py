@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sessions(hits: DataFrame, gap: str = "60 seconds", late: str = "10 minutes", time: str = "ts") -> DataFrame:
-    """Point hits closer than the gap make one event; state goes once the watermark has passed."""
-    return hits.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_hits"), F.sum("area").alias("area")).select(F.col("w.start").alias("t_min"), F.col("w.end").alias("t_end"), "n_hits", "area")
+def sessions(hits: DataFrame, gap: str = "60 seconds", late: str = "10 minutes", time: str = "ts", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Point hits of a key (a run; a stream of sessions needs one) closer than the gap make one event; state goes once the watermark has passed."""
+    grouped = hits.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys)
+    return grouped.agg(F.count("*").alias("n_hits"), F.sum("area").alias("area")).select(F.col("w.start").alias("t_min"), F.col("w.end").alias("t_end"), *keys, "n_hits", "area")
 
 
 def tumbling(hits: DataFrame, width: str = "1 hour", late: str = "10 minutes", time: str = "ts") -> DataFrame:
