@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/pulsegrid/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     del df
     gc.collect()
@@ -46,6 +49,30 @@ def cut(df: DataFrame) -> DataFrame:
     return made
 
 
+#: Paths cut within the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(paths: list[str]):
+    """While open, the paths that cut() writes are noted in `paths`."""
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def release(paths: list[str], reader: DataFrame) -> None:
+    """Deletes the noted tables but for those that `reader` reads, and forgets them."""
+    spark = reader.sparkSession
+    read = [f.split("/pulsegrid/", 1)[-1].split("/", 1)[0] for f in reader.inputFiles() if "/pulsegrid/" in f] if paths else []
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] not in read]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        paths.remove(path)
+
+
 def bounded(df: DataFrame, rows: int = 1 << 18, size: int = 4 << 20) -> DataFrame:
     """A table made by cut(), marked for broadcast if it has at most so many rows and bytes; else as it is, to be shuffled."""
     spark = df.sparkSession
@@ -67,9 +94,10 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Whole texts cross to Python in batches of so many rows, which bounds a worker's memory."""
+def arrow_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
+    """Whole texts cross to Python in batches of so many rows and bytes, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def crc_mod(col: Column, n: int) -> Column:

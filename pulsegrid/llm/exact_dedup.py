@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, bounded, cut, documents
 
-FIRST_WIDTH, WIDER, WIDEST = 64, 4, 1 << 20
+FIRST_WIDTH, WIDER, WIDEST = 64, 16, 1 << 20
+#: Tables of repeated digits up to so many bytes on disk and rows are broadcast.
+SENT_BYTES, SENT_ROWS = 16 << 20, 1 << 19
 
 
 def lower_ascii(text: Column) -> Column:
@@ -47,7 +49,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     digit = lambda at, width: F.substring(lower_ascii(F.col("text")).cast("binary"), at + 1, width)
     # The first level only tells the rows whose first bytes are their own.
     split = rows.withColumn("digit", digit(0, first_width))
-    again = bounded(cut(split.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")))
+    again = bounded(cut(split.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")), SENT_ROWS, SENT_BYTES)
     begun = F.monotonically_increasing_id().alias("uid"), F.lit(0).cast("long").alias("part")
     if hasattr(again, "broadcast_rows"):
         alone, todo = split.join(again, "digit", "left_anti"), cut(split.join(again, "digit").select("row", "text", "id", *begun))
@@ -59,7 +61,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     while not todo.isEmpty():
         split = todo.withColumn("digit", digit(at, width))
         parts = split.groupBy("part", "digit").agg(F.max(F.struct(F.col("id"), F.col("uid"))).alias("top"), F.count("*").alias("n")).filter("n > 1")
-        parts = bounded(cut(parts.select("part", "digit", F.col("top.uid").alias("top"), F.col("top.id").alias("top_id"), "n", (F.length("digit") < width).alias("ended"))))
+        parts = bounded(cut(parts.select("part", "digit", F.col("top.uid").alias("top"), F.col("top.id").alias("top_id"), "n", (F.length("digit") < width).alias("ended"))), SENT_ROWS, SENT_BYTES)
         state = split.join(parts, ["part", "digit"], "left")
         over = F.col("n").isNull() | F.col("ended")
         done.append(state.filter(over).select(row.alias("row"), "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("n").isNull() | (F.col("uid") == F.col("top"))).alias("kept")))
@@ -78,3 +80,7 @@ def op5_exact_dedup(spark, sf_dir):
     d = d.withColumn("text_sha256", F.sha2(lower_ascii(F.col("text")), 256))
     g = exact_groups(d, carry=["text_sha256"])
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "row.text_sha256")
+
+
+OP5_SQL = f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256 FROM t WINDOW w AS (PARTITION BY text)"""

@@ -13,8 +13,8 @@ the keys, never what is found.
 Near copies share most keys of their prefixes, so many keys have the same nodes.  Such keys make one list, named by a
 hash of its nodes; a node stands in it at its first place among them, which is never behind the first common token.
 
-groups() doesn't pair all candidates of a posting list.  First each member is verified against PIVOTS of its list, in
-some rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
+groups() doesn't pair all candidates of a posting list.  First each member is verified against PIVOTS of its first
+PIVOT_LISTS lists, in some rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
 that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
 so no link that joins two components is lost.  links() skips the pivots and verifies every pair.
 
@@ -45,11 +45,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded, cut, documents, drop_cut
+from .common import LOWER, UPPER, arrow_batches, bounded, cut, documents, drop_cut
 
 FREQUENT = 1 << 16
 SMALL = 256
-PIVOT_ROUNDS, PIVOTS = 1, 2
+PIVOT_ROUNDS, PIVOTS = 2, 4
+#: A node meets the pivots of so many of its lists, those at its first places.
+PIVOT_LISTS = 8
 HEAD = 32
 PARITY = 512
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -240,6 +242,12 @@ def lengths(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def alike(odd_a: Column, n: Column, odd_b: Column, m: Column, percent: int) -> Column:
+    """The parity filter on PARITY bits."""
+    apart = sum((F.bit_count(odd_a[i].bitwiseXOR(odd_b[i])) for i in range(PARITY // 64)), F.lit(0))
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def prepared(docs: DataFrame, text_col: str, id_col: str, k: int, percent: int, small: int) -> Index:
     if percent <= 50:
         raise ValueError("percent must be over 50")
@@ -315,8 +323,7 @@ def all_pairs(ix: Index, now: DataFrame) -> DataFrame:
     heads = now.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, HEAD).alias("head"))
     now = cut(now.join(heads.join(ix.nodes.select("node", "odd"), "node"), "node"))
     other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("comp").alias("c"), F.col("odd").alias("odd_b"), F.col("head.key").alias("head_b"))
-    apart = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-    near = apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    near = alike(F.col("odd"), F.col("n"), F.col("odd_b"), F.col("m"), percent)
     least = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
     reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("spot") - 1)
     before = F.filter("head", lambda h: h < F.struct("place", "key"))
@@ -338,15 +345,20 @@ def joined(ix: Index, pivot_rounds: int) -> tuple[DataFrame | None, DataFrame |
             if now.isEmpty():
                 break
         if step < pivot_rounds:
+            place = Window.partitionBy("node").orderBy("place", "key")
+            first = now.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= PIVOT_LISTS).select("key", "node", "n", "comp")
+            first = cut(first.join(ix.nodes.select("node", "odd"), "node"))
             # max_by keeps one row per key and task, however long the list.
-            by = [F.max_by(F.struct("node", "n", "comp"), F.xxhash64("comp" if step else "node", F.lit(step * PIVOTS + i), "node")) for i in range(PIVOTS)]
-            pivot = now.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("p")).withColumn("p", F.explode("p"))
-            met = now.join(pivot, "key").filter((F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"), ix.percent)).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+            by = [F.max_by(F.struct("node", "n", "comp", "odd"), F.xxhash64("comp" if step else "node", F.lit(step * PIVOTS + i), "node")) for i in range(PIVOTS)]
+            pivot = first.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("p")).withColumn("p", F.explode("p"))
+            other = (F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"), ix.percent) & alike(F.col("p.odd"), F.col("p.n"), F.col("odd"), F.col("n"), ix.percent)
+            met = cut(first.join(pivot, "key").filter(other).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
+            drop_cut(first)
         else:
             met = all_pairs(ix, now)
         found = verify(ix, met)
-        links = found if links is None else cut(links.unionAll(found))
-        if not links.isEmpty():
+        if not found.isEmpty():
+            links = found if links is None else cut(links.unionAll(found))
             comp = components(links)
     return links, comp
 
@@ -389,6 +401,7 @@ def links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: in
     """Every link between different sets, as (a, b) of the smallest ids of both, and the membership (doc_id, rep)."""
     ix = prepared(docs, text_col, id_col, k, percent, small)
     found, _ = joined(ix, 0)
+    found = docs.sparkSession.createDataFrame([], "a long, b long") if found is None else found
     of = lambda side, name: ix.reps.select(F.col("node").alias(side), F.col("doc_id").alias(name))
     pairs = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs, ix.of.filter("n > 0").join(of("node", "rep"), "node").select("doc_id", "rep")
@@ -410,3 +423,12 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k:
 
 def op8_jaccard_join(spark, sf_dir):
     return groups(documents(spark, sf_dir))
+
+
+OP8_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT a AS doc_id, b AS to_id FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.to_id)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, min(r.to_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id"""

@@ -7,6 +7,9 @@ the shares of hashed byte bigrams and trigrams of the whole lower-cased text, AS
 Learning takes at most `per_language` documents of each language (fewer where all would pass ROWS_MAX), those with the
 smallest hashes; only their feature vectors reach the driver, so its memory is bounded.  Prediction is map-only.
 
+Rows that share an id are one document for learning: of their texts the largest counts, so what reaches the driver stays
+bounded however often an id repeats.  A null id is never held out and never learned from.
+
 Edge cases: null text, or text without a letter, is `und` with score 0; a language that is not in the table of
 families is a family of its own; with one language learned it is always predicted; with none everything is `und`;
 repeated rows are predicted alike; other columns are never looked at.
@@ -119,13 +122,13 @@ def learn(docs: DataFrame, usable: Column, per_language: int = 800, seed: int =
     """docs has doc_id, text and lang.  Every lang value is learned; the more there are, the fewer rows each has."""
     spark = docs.sparkSession
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")).orderBy(F.desc("count"), "lang").collect()  # a row per language
     if not counts:
         return None
     per_language = max(1, min(per_language, ROWS_MAX // len(counts)))
     share = F.create_map(*[y for r in counts for y in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * per_language / r["count"])))])
     h = unit_hash(F.col("doc_id"), F.lit(seed))
-    picked = sorted(known.filter(h < share[F.col("lang")]).select(h.alias("h"), "doc_id", "lang").collect())
+    picked = sorted(known.filter(h < share[F.col("lang")]).select(h.alias("h"), "doc_id", "lang").distinct().collect())
     room = {r["lang"]: per_language for r in counts}
     ids: dict[int, str] = {}
     for r in picked:
@@ -142,9 +145,9 @@ def learn(docs: DataFrame, usable: Column, per_language: int = 800, seed: int =
             got = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "x"])
 
-    found = docs.filter(usable & F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select(F.col("doc_id").cast("long"), "text")
+    found = docs.filter(usable & F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
+    found = found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("text").alias("text"))
     rows = sorted(found.mapInArrow(run, "doc_id long, x binary").collect())
-    rows = list({r["doc_id"]: r for r in rows}.values())
     return Model(np.vstack([np.frombuffer(r["x"], np.float32) for r in rows]), [ids[r["doc_id"]] for r in rows])
 
 
@@ -171,5 +174,5 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
 def op2_language_id(spark, sf_dir):
     """Learns from documents whose crc32(doc_id) mod 5 is not 0."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    out = crc_mod(F.col("doc_id"), 5) == 0
+    out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     return identify(d, learn(d, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")

@@ -13,7 +13,8 @@ Only hashes are shuffled to count templates, and after the first count each diff
 takes up the hot ones); a text is shuffled once, when the numbers of its dropped lines meet it.
 
 Edge cases: null text stays null, lines of white space only stay; a line that recurs within one document only stays;
-documents with equal or null ids count as one document, and those without id keep their lines; an empty table gives an empty result; only id and text are
+rows with equal ids count as one document, but a row's lines are its own: another text under the id loses none for them;
+rows without id count as one document and keep their lines; an empty table gives an empty result; only id and text are
 looked at.
 """
 
@@ -73,10 +74,10 @@ def templates(pool: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, min_docs: int, min_tokens: int, wild_tokens: int) -> DataFrame:
-    """(doc_id, drop): numbers of the lines, from 0, that a document loses."""
+    """(of, of_text, drop): numbers of the lines, from 0, that the rows of an id and a text's hash lose."""
     masked = F.split(F.regexp_replace("text", "[0-9]+", "0"), "\n")
-    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.transform(masked, lambda x: parsed(x, min_tokens, wild_tokens))).alias("line", "p")).filter(F.col("p").isNotNull())
-    lines = cut(lines.select("doc_id", "line", "p.*"))
+    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.transform(masked, lambda x: parsed(x, min_tokens, wild_tokens))).alias("line", "p")).filter(F.col("p").isNotNull())
+    lines = cut(lines.select("doc_id", "hash", "line", "p.*"))
     pool = cut(lines.groupBy("full").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("nameless")))
     sigs = templates(pool)
     often = sigs.groupBy("sig").agg(F.min("low").alias("first"), F.max("high").alias("high"), F.max("nameless").alias("nameless"))
@@ -88,18 +89,20 @@ def recurring(docs: DataFrame, min_docs: int, min_tokens: int, wild_tokens: int)
         pairs = lines.select("full", "doc_id").distinct().join(sigs.join(often, "sig", "left_semi").select("full", "sig"), "full").select("sig", "doc_id").distinct()
         often = often.join(pairs.groupBy("sig").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "sig", "left_semi")
     found = cut(sigs.join(often, "sig").groupBy("full").agg(F.min("first").alias("first")))
-    hit = lines.select("doc_id", "line", "full").join(found, "full")
-    return hit.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
+    hit = lines.select("doc_id", "hash", "line", "full").join(found, "full").filter(F.col("doc_id") != F.col("first"))
+    return hit.groupBy(F.col("doc_id").alias("of"), F.col("hash").alias("of_text")).agg(F.collect_set("line").alias("drop"))
 
 
 def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 2, min_tokens: int = 6, wild_tokens: int = BLOCKS) -> DataFrame:
     """A row per document: doc_id, n_lines, n_dropped, text without its recurring lines."""
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    drops = recurring(d, min_docs, min_tokens, wild_tokens).withColumnRenamed("doc_id", "of")
+    drops = recurring(d, min_docs, min_tokens, wild_tokens)
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda x, i: ~F.array_contains("drop", i))
-    out = d.join(drops, d["doc_id"] == drops["of"], "left")
-    return out.select("doc_id", F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
+    out = d.join(drops, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("of_text")), "left")
+    gone = F.col("drop").isNotNull()
+    lost = F.when(gone, F.size("drop")).otherwise(0).cast("long").alias("n_dropped")
+    return out.select("doc_id", F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), lost, F.when(gone, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"))
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -6,8 +6,10 @@ at `max_epochs` times its source's size and the excess is shared again by weight
 documents stand in a fixed pseudo-random order; a document that begins after c words of its source is trained at the
 time t at which the cumulative demand D(t) = T (t + a t - a t^2) reaches c, that is at the inverse of D.
 
-No source is gathered in one task: rows are ordered within (source, bucket), a bucket holds about `rows_per_bucket`
-rows, and only the buckets' sums are added up per source.
+The order is that of an MD5 of id and size; equal ones follow each other by id and size.  No source is gathered in one
+task: a bucket is a range of that hash with about `rows_per_bucket` rows, rows are ordered within (source, bucket), and
+only the buckets' sums are added up per source, so the order doesn't depend on the number of buckets.  The targets are
+worked out in one window over the sources, a row each: for tens to some millions of sources, not for a source per page.
 
 Edge cases: null or empty text has size 0 and nothing is taken from it; a null source is a source of its own, last in
 order; an empty table gives an empty result; rows with equal ids are separate documents; columns of the input are
@@ -51,13 +53,13 @@ def mix(docs: DataFrame, size_col: str = "size", id_col: str = "doc_id", source_
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("source"), docs[id_col].alias("id"), docs[size_col].cast("long").alias("size"))
     n = max(least_buckets, math.ceil(docs.count() / rows_per_bucket))
-    rows = rows.withColumn("key", F.xxhash64("id", "size", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n)))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce(F.col("size"), F.lit(0)).cast("string"), F.lit(str(seed))).cast("binary"))
+    rows = rows.withColumn("key", key).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n / F.lit(float(1 << 32))))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, slopes, share, max_epochs)
     in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = cut(per_bucket.withColumn("begin", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0))).join(per_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("bucket").alias("in"), "begin", "source_size", "target", "slope"))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # Null sources meet as "no source" plus a flag: an equality that both sides can be hashed by.
     keyed = rows.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     out = keyed.join(begins, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))).withColumn("start", F.col("begin") + F.col("within"))
     words = F.round("target").cast("long")
@@ -89,3 +91,17 @@ def op1_mixing(spark, sf_dir):
     m = mix(sized)
     first = F.when(F.col("taken") > 0, position(F.col("start"), F.col("target"), F.col("slope")))
     return m.select("row.doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+OP1_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(rank - 1) % 3 + 1]::DOUBLE AS weight, [0.5, 0.0, -0.5][(rank - 1) % 3 + 1]::DOUBLE AS slope, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+r AS (SELECT *, cap / weight AS ratio FROM w),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+o AS (SELECT (arg_min(level, (ratio, rank))) AS open_level FROM l WHERE level <= ratio),
+t AS (SELECT source, source_size, slope, coalesce(least(cap, weight * open_level), cap) AS target FROM l, (SELECT max(open_level) AS open_level FROM o)),
+k AS (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR || ':17') AS key FROM d),
+b AS (SELECT k.*, t.source_size, t.slope, t.target, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT *, round(target)::BIGINT AS words FROM b),
+g AS (SELECT *, (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size)) + greatest(0, least(size, words - start - 2 * source_size)))::BIGINT AS taken, least(1.0::DOUBLE, start / target) AS q FROM m)
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE WHEN abs(slope) < 1e-9 THEN q ELSE abs(((1 + slope) - sqrt(greatest(0.0::DOUBLE, (1 + slope) * (1 + slope) - 4 * slope * q))) / (2 * slope)) END END AS position FROM g"""

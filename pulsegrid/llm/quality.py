@@ -8,6 +8,9 @@ quantile of the training scores, the one that splits the classes best, comes out
 Learning takes at most `per_class` documents of each label, those with the smallest hashes, and `n_pairs` pairs of
 them; only feature vectors reach the driver, so its memory is bounded.  Scoring is map-only.
 
+Rows that share an id are one document for learning (the largest text counts), and of an id's unequal labels the larger
+counts, so what reaches the driver stays bounded however often an id repeats.  A null id is never held out.
+
 Edge cases: null text counts as empty and is scored like any text; labels other than 0 and 1, and null labels or ids,
 are left out; if a class has no labelled document every score is 0.5; repeated rows get equal scores; other columns
 are never looked at.
@@ -86,7 +89,7 @@ class Ranker:
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3000, seed: int = 11) -> Ranker:
     """docs: doc_id, text; labels: doc_id, quality."""
     spark = docs.sparkSession
-    known = labels.filter(usable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality", unit_hash(F.col("doc_id"), F.lit(seed)).alias("h"))
+    known = labels.filter(usable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("h", unit_hash(F.col("doc_id"), F.lit(seed)))
     ids = {r["doc_id"]: r["quality"] for k in (0, 1) for r in known.filter(F.col("quality") == k).orderBy("h", "doc_id").limit(per_class).collect()}
     arrow_batches(spark)
     chosen = spark.createDataFrame(sorted(ids), "long").toDF("chosen")  # at most 2 x per_class rows
@@ -95,7 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "x"])
 
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select(F.col("doc_id").cast("long"), "text")
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("text").alias("text"))
     rows = sorted(found.mapInArrow(run, "doc_id long, x binary").collect()) if ids else []
     x = np.vstack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else features("")[None]
     return Ranker(x, np.array([ids[r["doc_id"]] for r in rows] or [1]))
@@ -120,7 +123,7 @@ def scored(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
 def op9_quality(spark, sf_dir):
     """Learns from labels of rows whose crc32(doc_id) mod 4 is not 2."""
     d = documents(spark, sf_dir).select("doc_id", "text")
-    out = crc_mod(F.col("doc_id"), 4) == 2
+    out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     model = learn(d, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~out)
 
     return scored(d, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
