@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import bpe, exact_dedup, jaccard, mixing, quality
-from pulsegrid.llm.common import cut, documents, n_words
+from pulsegrid.llm.common import cut, documents, drop_cut, n_words, release, scope
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +51,36 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, carry=[c for c in ["position"] if c in docs.columns])
 
 
-STAGES = [("quality", good), ("exact dedup", unique), ("near dedup", distinct), ("mixing", mixture), ("tokens", tokens)]
+#: Scratch tables of the stages that have ended.
+_spent: list[str] = []
+
+
+def staged(work):
+    """A stage's function.  When it begins its predecessor's result is written, so the scratch tables behind that go, but for what docs itself reads."""
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_spent, docs)
+        with scope(_spent):
+            return work(spark, docs, sf_dir)
+
+    return stage
+
+
+STAGES = [(name, staged(work)) for name, work in (("quality", good), ("exact dedup", unique), ("near dedup", distinct), ("mixing", mixture), ("tokens", tokens))]
 
 #: Learned scores, hash orders and token ranks are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents, each written to the shared folder and read again; a stage's input goes when its result is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = cut(docs)
+            if before is not None:
+                drop_cut(before)
+            before = docs
     return docs
