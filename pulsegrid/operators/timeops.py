@@ -225,3 +225,9 @@ def concat_sorted(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.orderBy(*TIME_ORDER)
+
+
+def write_index(df: DataFrame, path: str, ranges: int | None = None) -> None:
+    """Writes df in ranges of time, each file sorted, so that a bound on time skips files and row groups by their statistics."""
+    dealt = df.repartitionByRange(ranges, "time") if ranges else df.repartitionByRange("time")
+    dealt.sortWithinPartitions("time").write.mode("overwrite").parquet(path)

@@ -77,6 +77,15 @@ class Operator:
         return out
 
 
+def wave_source(use_filtered: str = "use_filtered", plain: str = "records", filtered: str = "filtered_waveforms") -> Callable:
+    """needs of an operator over waves: the filtered ones if its option says so (call with the product's name)."""
+
+    def of(product: str) -> Callable:
+        return lambda engine, run: (filtered if engine.options(product, run).get(use_filtered) else plain,)
+
+    return of
+
+
 class Engine:
     def __init__(self, spark: SparkSession, store: str | None = None, run_configs: Mapping[str, Mapping] | None = None):
         self.spark, self.store = spark, store
