@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from pulsegrid.llm import bpe, exact_dedup, fingerprint, jaccard, langid, line_dedup, mixing, pii, quality, secrets
+from pulsegrid.llm import bpe, exact_dedup, fingerprint, jaccard, langid, line_dedup, mixing, pii, quality, queries, secrets
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -334,12 +335,111 @@ def test_empty_tables(spark, docs):
     assert quality.scored(none, quality.learn(none, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rel, mine = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, SF)
+    cols = sorted(mine.columns)
+    assert cols == sorted(rel.columns)
+    key = lambda r: r[cols.index("doc_id")]
+    a = sorted((tuple(r) for r in mine.select(*cols).collect()), key=key)
+    b = sorted(rel.select(*cols).fetchall(), key=key)
+    assert len(a) == len(b) and all(x == y or isinstance(x, float) and x == pytest.approx(y, rel=1e-12) for r, q in zip(a, b) for x, y in zip(r, q))
+
+
+def all_texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_base_spans_of_whole_tables(spark):
+    texts = all_texts(spark)
+    for r in secrets.op4_secrets(spark, SF).collect():
+        t = texts[r["doc_id"]]
+        o = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, t) if len(m[0]) >= 24]
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(o))
+        assert r["base_sha256"] == DIGEST(text) and [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in o) for k in range(3)]
+        assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
+    for r in pii.op7_pii(spark, SF).collect():
+        base = plain_pii(texts[r["doc_id"]])
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{e}" for k, a, e in sorted(base))
+        assert r["base_sha256"] == DIGEST(text) and [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(x[0] == k for x in base) for k in range(4)]
+        assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def plain_templates(line, min_tokens):
+    """Templates of a line as texts: itself with masked digits, and with one or two sixths open where enough words stay."""
+    tokens = [t for t in re.split(r"[ \t\x0b-\r]+", re.sub("[0-9]+", "0", line)) if t]
+    if len(tokens) < max(1, min_tokens):
+        return set()
+    w = [t for t in tokens if t != "|"]
+    n, out = len(w), {("whole", *tokens)}
+    if n < 6:
+        return out
+    edge = [n * q // 6 for q in range(7)]
+    parts = [tuple(w[edge[q] : edge[q + 1]]) for q in range(6)]
+    for gone in [(q,) for q in range(6)] + [(p, q) for p in range(6) for q in range(p + 1, 6)]:
+        kept = n - sum(len(parts[q]) for q in gone)
+        if kept >= 5 and kept * 2 > n and (len(gone) == 2 or n < 9):
+            out.add((n, gone, *[parts[q] for q in range(6) if q not in gone]))
+    return out
+
+
+def test_line_dedup_against_a_plain_version(spark):
+    r = random.Random(11)
+    pool = [" ".join(r.choice(("lorem", "ipsum", "dolor", "sit", "amet", "7", "42")) for _ in range(r.randint(0, 9))) for _ in range(12)]
+    rows = [(r.randint(1, 25), "\n".join(r.choice(pool) if r.random() < 0.7 else r.choice(pool) + f" x{r.randint(0, 9)}" for _ in range(r.randint(1, 6)))) for _ in range(40)]
+    rows += [(i, t + " " + chr(97 + i)) for i, (_, t) in enumerate(rows[:5])]
+    first, many = {}, {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            for x in plain_templates(line, 1):
+                first[x] = min(i, first.get(x, i))
+                many.setdefault(x, set()).add(i)
+    want = []
+    for i, t in rows:
+        left = []
+        for line in t.split("\n"):
+            hit = [first[x] for x in plain_templates(line, 1) if len(many[x]) > 1]
+            if not hit or min(hit) == i:
+                left.append(line)
+        want.append((i, "\n".join(left)))
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1)
+    assert sorted((x["doc_id"], x["text"]) for x in got.collect()) == sorted(want)
+
+
 def test_pipeline(spark):
+    """Each stage on what its predecessor kept, against plain versions."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = docs
+    seen, outs = docs, [docs]
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, corpus_pipeline.cut(stage(spark, docs, SF))
+        docs = corpus_pipeline.cut(stage(spark, docs, SF))
         if name != "tokens":
             assert docs.columns == seen.columns + ["position"] * (name == "mixing")
-        assert docs.count() <= before.count() or name == "mixing"
-    assert docs.count() > 100 and docs.filter("position is null").isEmpty()
+        outs.append(docs)
+    every, good, unique, distinct = ({r["doc_id"]: r["text"] for r in d.collect()} for d in outs[:4])
+    assert set(good) <= set(every) and np.mean([(i in good) == bool(q) for i, q in labels.items() if i in every]) > 0.95
+    top = {}
+    for i, t in good.items():
+        top[lower(t)] = max(i, top.get(lower(t), i))
+    assert set(unique) == set(top.values())
+    s = sets([(i, t) for i, t in sorted(unique.items())], 5)
+    comp = {i: i for i, _ in s}
+    for n, (i, x) in enumerate(s):
+        for j, y in s[:n]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {k: low if c == high else c for k, c in comp.items()}
+    assert set(distinct) == set(comp.values())
+    sized = mixing.mix(outs[3].withColumn("size", mixing.n_words(F.col("text")))).select("row.doc_id", "size", "source_size", "start", "target").collect()
+    passes = {r["doc_id"]: sum(r["start"] + e * r["source_size"] < round(r["target"]) for e in range(3)) if r["size"] else 0 for r in sized}
+    times = {}
+    for r in outs[4].select("doc_id").collect():
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    assert times == {i: n for i, n in passes.items() if n}
+    assert outs[4].filter("position is null or position < 0 or position > 1").isEmpty()
+    codec = bpe.Codec.of(*bpe.rank_file())
+    for r in docs.limit(50).collect():
+        assert r["ids"] == codec.bpe.encode_ordinary(distinct[r["doc_id"]] or "") and r["decoded_sha256"] == DIGEST(distinct[r["doc_id"]] or "")
+    assert docs.select("doc_id", "position").exceptAll(outs[4].select("doc_id", "position")).isEmpty()
