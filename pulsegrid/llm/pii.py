@@ -127,9 +127,20 @@ def features(text: str, start: int, end: int, kind: int) -> list[int]:
     digits = "".join(c for c in s if c.isdigit())
     groups = [len(g) for g in re.findall(r"[0-9]+", s)]
     words = re.findall(r"[a-z]+", before)[-3:]
-    f = [True, 8 <= len(digits) <= 15, 16 <= len(digits) <= 19, 13 <= len(digits) <= 15, len(digits) == 9, len(digits) in (7, 10, 11), s[:1] == "+", "(" in s[:6], len(groups) == 1, len(groups) > 1 and set(groups[:-1]) == {4}, groups == [3, 2, 4], groups[-1:] == [4] and len(groups) > 2, len(digits) >= 13 and luhn(digits), len(groups) == 4 and max(groups, default=9) <= 3 and "." in s, any(g > 3 for g in groups), "@" in s, "dot" in s.lower(), any(c.isalpha() for c in s), any(w.startswith(CUES[kind]) for w in words), any(w in LOOK_ALIKE for w in words), " " in s, "-" in s, before[-1:].isalnum()]
+    n, after = len(digits), text[end : end + 2]
+    f = [
+        True, 8 <= n <= 15, 16 <= n <= 19, 13 <= n <= 15, n == 9, n in (7, 10, 11),
+        s[:1] == "+", "(" in s[:6], len(groups) == 1, len(groups) > 1 and set(groups[:-1]) == {4}, groups == [3, 2, 4],
+        groups[-1:] == [4] and len(groups) > 2, n >= 13 and luhn(digits), len(groups) == 4 and max(groups, default=9) <= 3 and "." in s,
+        any(g > 3 for g in groups), "@" in s, "dot" in s.lower(), any(c.isalpha() for c in s),
+        any(w.startswith(CUES[kind]) for w in words), any(w in LOOK_ALIKE for w in words), " " in s, "-" in s, before[-1:].isalnum(),
+    ]
     # Bounds: standing for itself as a whole, or cut out of a longer string.
-    f += [groups == [3, 3, 4], s[:1] == "+" and groups[1:] == [3, 3, 4], groups == [4] * 4, s.count("(") != s.count(")"), before[-1:] in ("-", ".") and before[-2:-1].isdigit(), text[end : end + 1] in ("-", ".") and text[end + 1 : end + 2].isdigit(), before[-1:] in ("(", ")"), before[-1:] == " " and (before[-2:-1].isdigit() or before[-2:-1] == ")"), text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit()]
+    f += [
+        groups == [3, 3, 4], s[:1] == "+" and groups[1:] == [3, 3, 4], groups == [4] * 4, s.count("(") != s.count(")"),
+        before[-1:] in ("-", ".") and before[-2:-1].isdigit(), after[:1] in ("-", ".") and after[1:].isdigit(), before[-1:] in ("(", ")"),
+        before[-1:] == " " and (before[-2:-1].isdigit() or before[-2:-1] == ")"), after[:1] == " " and after[1:].isdigit(),
+    ]
     base = kind * N_FEATURES
     return [base + i for i, x in enumerate(f) if x]
 
