@@ -52,7 +52,7 @@ SMALL = 256
 PIVOT_ROUNDS, PIVOTS = 2, 4
 #: A node meets the pivots of so many of its lists, those at its first places.
 PIVOT_LISTS = 8
-HEAD = 32
+HEAD = 16
 PARITY = 512
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
