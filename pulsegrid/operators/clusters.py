@@ -74,6 +74,8 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], steps) -> DataFra
     """df with `part`.  steps(columns, state) gives the parts of one key's next sorted rows and the state after them.
 
     Keys are dealt by hash and sorted on disk; a task sees batches of Arrow's size, so its memory doesn't grow with a key.
+    They are dealt by a hash of their own: a repartition by the columns of a join before it is optimised out, and where that
+    join turns into a broadcast while it runs, its rows are read by where they were written, so that one key's rows part.
     """
 
     def run(batches):
@@ -92,7 +94,7 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], steps) -> DataFra
                 parts.append(got)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts))], [*b.schema.names, "part"])
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, StructType([*dealt.schema, StructField("part", LongType())]))
 
 
