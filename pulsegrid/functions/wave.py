@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,14 @@ def basic_features(wave: Column, baseline: Column, positive: Column, height_rang
 
 
 def asymmetry(wave: Column, baseline: Column, positive: Column, cut: float = 0.7) -> Column:
-    """Whether the pulse's side of the baseline makes up enough of the whole swing."""
+    """Whether the pulse's side of the baseline makes up enough of the whole swing.
+
+    The cut counts as the decimal that it is written as: both sides are multiplied up to whole numbers, since 0.55 x 100 is above 55 in doubles.
+    """
+    share = Fraction(str(cut))
     swing = F.array_max(wave) - F.array_min(wave)
     h = F.when(positive, F.array_max(wave) - baseline).otherwise(baseline - F.array_min(wave))
-    return F.coalesce((F.size(wave) > 0) & (swing > 0) & (h > 0) & (h <= swing) & (h >= cut * swing), F.lit(False))
+    return F.coalesce((F.size(wave) > 0) & (swing > 0) & (h > 0) & (h <= swing) & (h.cast("double") * float(share.denominator) >= swing.cast("double") * float(share.numerator)), F.lit(False))
 
 
 def threshold_hits(records: DataFrame, threshold: float | Column, left: int = 2, right: int = 2, keep: Column | None = None) -> DataFrame:

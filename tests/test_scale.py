@@ -2,6 +2,9 @@
 
 from contextlib import contextmanager
 
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import wave
 from pulsegrid.operators import clusters
 
 
@@ -24,3 +27,9 @@ def test_streamed_rows_are_dealt_by_a_shuffle_of_their_own(spark):
     with settings(spark, autoBroadcastJoinThreshold="-1"):
         plan = clusters.greedy(df, 40, 60, ["channel"], rows_per_range=100)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_a_pulse_on_the_bound_of_the_asymmetry_mask_passes(spark):
+    df = spark.createDataFrame([(1, [55, -45], True), (2, [54, -46], True), (3, [-55, 45], False), (4, [110, -90], True)], "record_id long, wave array<int>, positive boolean")
+    keep = wave.asymmetry(F.col("wave"), F.lit(0), F.col("positive"), 0.55)
+    assert sorted(r["record_id"] for r in df.filter(keep).collect()) == [1, 3, 4]
