@@ -210,8 +210,8 @@ def energy_reconstruction(spark, sf_dir):
  CASE WHEN ok AND s1_area >= 500 AND s2_area >= 3000 THEN 1 ELSE 0 END + CASE WHEN ok THEN 2 ELSE 0 END + CASE WHEN r <= 45 AND NOT isnan(r) AND drift_time_ns * CAST(0.0013 AS DOUBLE) BETWEEN 50 AND 700 THEN 4 ELSE 0 END
  + CASE WHEN score > 0.5 AND NOT isnan(score) THEN 8 ELSE 0 END + CASE WHEN n_s1 > 1 OR n_s2 > 1 THEN 256 ELSE 0 END + CASE WHEN s1_area < 500 THEN 512 ELSE 0 END + CASE WHEN s2_area < 3000 THEN 1024 ELSE 0 END AS flags FROM fl""")
 def physics_events(spark, sf_dir):
-    """Pairs and positions as events, joined by pair_id."""
-    s = selected(spark, sf_dir)
+    """Pairs and positions as events, joined by pair_id; candidates are counted, not listed."""
+    s = pairs.largest(*sides(spark, sf_dir), DRIFT)
     e = events.events(s, places(spark, sf_dir, s), "r1", 500, 3000, 45.0, (50.0, 700.0))
     return rounded(e).select("event_id", "event_number", "run_id", "pair_id", "s1_peak_id", "s2_peak_id", "x", "y", "z", "r", "drift_time_ns", "s1_time", "s2_time", "s1_area", "n_s1", "n_s2", "s1_area_fraction_top", "flags")
 

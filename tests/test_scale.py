@@ -1,11 +1,12 @@
 """Rules that small tables don't show: plans that change while they run, values on a bound, long texts."""
 
+import random
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import wave
-from pulsegrid.operators import clusters
+from pulsegrid.operators import clusters, pairs
 
 
 @contextmanager
@@ -33,3 +34,14 @@ def test_a_pulse_on_the_bound_of_the_asymmetry_mask_passes(spark):
     df = spark.createDataFrame([(1, [55, -45], True), (2, [54, -46], True), (3, [-55, 45], False), (4, [110, -90], True)], "record_id long, wave array<int>, positive boolean")
     keep = wave.asymmetry(F.col("wave"), F.lit(0), F.col("positive"), 0.55)
     assert sorted(r["record_id"] for r in df.filter(keep).collect()) == [1, 3, 4]
+
+
+def test_the_largest_pairs_without_listing_candidates(spark):
+    r = random.Random(4)
+    side = lambda n, at: spark.createDataFrame([(at + i, r.randint(0, 3000), r.randint(-3, 12)) for i in range(n)], "peak_id long, t long, area long")
+    s1, s2 = side(300, 0), side(200, 1000)
+    want = pairs.select(pairs.with_pair_id(pairs.candidates(s1, s2, 70)))
+    cols = ["pair_id", "s1_id", "s2_id", "s1_t", "s2_t", "drift", "s1_area", "s2_area", "n_s1", "n_s2", "score", "rank_s2", "delta", "flags", "log10_ratio", "selected"]
+    got = pairs.largest(s1, s2, 70)
+    rows = lambda df: sorted(map(str, df.select(*cols).collect()))
+    assert rows(got) == rows(want) and got.count() > 100
