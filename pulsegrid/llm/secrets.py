@@ -154,10 +154,11 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def ordinary(text: Column) -> Column:
-    """Array of (stratum, bin) of a text's ordinary strings: a piece of its words, of its words with capitals and numbers, and of its numbers.
+    """Array of (stratum, bin) of a text's ordinary strings: all pieces of its words, of its words with capitals and numbers, and of its numbers.
 
     Words are runs of up to 16 letters, numbers of up to 8 digits, so that what may be secrets is not among them.  The pieces' length
-    is one of LENGTHS, dealt by the text's hash: over many texts all lengths have their share.
+    is one of LENGTHS, dealt by the text's hash: over many texts all lengths have their share.  Pieces follow one another to the
+    text's end; the last one ends there.  Strings shorter than a piece are cut to the longest of LENGTHS that they hold.
     """
     lower = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![A-Za-z0-9])[a-z]{2,16}(?![A-Za-z0-9])"), F.lit(0)), "")
     named = F.array_join(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]{1,15}|[0-9]{1,8})(?![A-Za-z0-9])"), F.lit(0)), "_")
@@ -166,8 +167,16 @@ def ordinary(text: Column) -> Column:
 
     n = F.element_at(F.array(*map(F.lit, LENGTHS)), F.pmod(F.xxhash64(text), F.lit(len(LENGTHS))).cast("int") + 1)
 
+    def length(t: Column, most: Column) -> Column:
+        return F.array_max(F.filter(F.array(*map(F.lit, LENGTHS)), lambda x: (x <= most) & (x <= F.char_length(t))))
+
+    def cut_up(t: Column, n: Column) -> Column:
+        whole = F.regexp_extract_all(t, F.concat(F.lit(".{"), n.cast("string"), F.lit("}")), F.lit(0))
+        return F.when(F.char_length(t) % n == 0, whole).otherwise(F.concat(whole, F.array(F.right(t, n))))
+
     def pieces(v: Column) -> Column:
-        return F.transform(F.filter(v["all"], lambda t: F.char_length(t) >= v["n"]), lambda t: F.substring(t, F.lit(1), v["n"]))
+        long_enough = F.filter(v["all"], lambda t: F.char_length(t) >= LENGTHS[0])
+        return F.flatten(F.transform(long_enough, lambda t: bound(F.struct(t.alias("t"), length(t, v["n"]).alias("n")), lambda x: cut_up(x["t"], x["n"]))))
 
     each = lambda t: bound(battery(t), lambda b: F.struct(stratum(F.char_length(t), b["encoding"]).alias("stratum"), bin_of(b["p"]).alias("bin")))
     return F.transform(bound(F.struct(F.array(lower, named, shouted, numbers).alias("all"), n.alias("n")), pieces), each)

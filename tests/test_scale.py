@@ -6,6 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import wave
+from pulsegrid.llm import secrets
 from pulsegrid.operators import clusters, pairs
 
 
@@ -36,6 +37,17 @@ def test_a_pulse_on_the_bound_of_the_asymmetry_mask_passes(spark):
     assert sorted(r["record_id"] for r in df.filter(keep).collect()) == [1, 3, 4]
 
 
+def test_ordinary_strings_come_from_the_whole_text(spark):
+    """Numbers up to the end of the text, and their last piece, count among the ordinary strings."""
+    texts = [" ".join(["1234567"] * n) for n in (3, 50, 51, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x["stratum"].split(":") for x in r["o"]] for r in df.select("doc_id", secrets.ordinary(F.col("text")).alias("o")).collect()}
+    for i, t in enumerate(texts):
+        digits = len(t.replace(" ", ""))
+        bands = [int(b) for kind, b in got[i] if kind == "hex"]
+        assert len(set(bands)) == 1 and len(bands) == -(-digits // secrets.LENGTHS[bands[0] - 1])
+
+
 def test_the_largest_pairs_without_listing_candidates(spark):
     r = random.Random(4)
     side = lambda n, at: spark.createDataFrame([(at + i, r.randint(0, 3000), r.randint(-3, 12)) for i in range(n)], "peak_id long, t long, area long")
