@@ -98,8 +98,8 @@ def hit_merged_components(spark, sf_dir):
 @query(greedy_sql(GAP, TIGHT, "board, channel", "dt") + ', n AS (SELECT *, dense_rank() OVER (ORDER BY board, channel, island, part) - 1 AS cluster_index FROM c) SELECT cluster_index, hit_id AS hit_index FROM n')
 def hit_merge_clusters(spark, sf_dir):
     """Clusters numbered channel by channel."""
-    c = merged(spark, sf_dir)
     keys = [*CHANNEL, "island", "part"]
+    c = merged(spark, sf_dir).select(*keys, "hit_id").persist()  # the numbers read it several times; rows and numbers come from one walk
     return c.join(numbered(c.select(*keys).distinct(), keys, "cluster_index"), keys).select("cluster_index", F.col("hit_id").alias("hit_index"))
 
 

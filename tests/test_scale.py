@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import wave
 from pulsegrid.llm import secrets
 from pulsegrid.operators import clusters, pairs
+from pulsegrid.plans import catalogue
 
 
 @contextmanager
@@ -57,3 +58,9 @@ def test_the_largest_pairs_without_listing_candidates(spark):
     got = pairs.largest(s1, s2, 70)
     rows = lambda df: sorted(map(str, df.select(*cols).collect()))
     assert rows(got) == rows(want) and got.count() > 100
+
+
+def test_merge_clusters_come_from_one_walk(spark):
+    """Rows and their clusters' numbers are read from the same kept walk."""
+    plan = catalogue.hit_merge_clusters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
