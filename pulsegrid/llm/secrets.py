@@ -98,10 +98,25 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 0.07056 * z * z * z + 1.5976 * z)))
 
 
+def likeness(squares: Column, runs: Column, serial: Column, k: Column, n: Column) -> Column:
+    """Chance of a random string of n characters of k to look less random: sum of squared counts, changes of half, products of neighbours about the middle."""
+    chi = ((k / n * squares - n) - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
+    z_runs = (runs - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    z_serial = serial / ((k * k - 1) / 12 * F.sqrt(n - 1))
+    # Too uneven counts, too few or too many runs, and correlation of either sign speak against randomness.
+    stat = F.pow(F.greatest(F.lit(0.0), chi), 2.0) + F.pow(z_runs, 2.0) + F.pow(z_serial, 2.0)
+    wilson = (F.cbrt(stat / 3) - (1 - 2 / 27)) / (2 / 27) ** 0.5
+    return F.when(n >= 2, normal_tail(wilson)).otherwise(0.0)  # nothing but padding is not random
+
+
+def encoding_of(s: Column) -> Column:
+    return F.when(F.regexp_like(s, F.lit("^[0-9a-f]+$")), "hex").when(F.regexp_like(s, F.lit("^[0-9A-F]+$")), "hex").when(F.regexp_like(s, F.lit("^[A-Z2-7]+=*$")), "base32").otherwise("base64")
+
+
 def battery(s: Column) -> Column:
     """Struct (encoding, p) of a string: p is the chance that a random string of its alphabet looks less random."""
     body = F.rtrim(F.translate(s, "-_", "+/"), F.lit("="))
-    encoding = F.when(F.regexp_like(s, F.lit("^[0-9a-f]+$")), "hex").when(F.regexp_like(s, F.lit("^[0-9A-F]+$")), "hex").when(F.regexp_like(s, F.lit("^[A-Z2-7]+=*$")), "base32").otherwise("base64")
+    encoding = encoding_of(s)
 
     def tests(v: Column) -> Column:
         alphabet = F.when(v["encoding"] == "hex", ALPHABETS["hex"]).when(v["encoding"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
@@ -113,19 +128,11 @@ def battery(s: Column) -> Column:
         return bound(F.struct(places.alias("x"), squares.alias("squares"), F.char_length(alphabet).cast("double").alias("k"), F.size(places).cast("double").alias("n")), statistics)
 
     def statistics(v: Column) -> Column:
-        x, k, n = v["x"], v["k"], v["n"]
+        x, middle = v["x"], (v["k"] + 1) / 2
         total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
-        chi = ((k / n * v["squares"] - n) - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
         pairs = lambda f: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), f)
-        middle = (k + 1) / 2
         runs = total(pairs(lambda a, b: F.when((a > middle) == (b > middle), 0.0).otherwise(1.0)))
-        z_runs = (runs - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        spread = (k * k - 1) / 12
-        z_serial = total(pairs(lambda a, b: (a - middle) * (b - middle))) / (spread * F.sqrt(n - 1))
-        # Too uneven counts, too few or too many runs, and correlation of either sign speak against randomness.
-        stat = F.pow(F.greatest(F.lit(0.0), chi), 2.0) + F.pow(z_runs, 2.0) + F.pow(z_serial, 2.0)
-        wilson = (F.cbrt(stat / 3) - (1 - 2 / 27)) / (2 / 27) ** 0.5
-        return F.when(n >= 2, normal_tail(wilson)).otherwise(0.0)  # nothing but padding is not random
+        return likeness(v["squares"], runs, total(pairs(lambda a, b: (a - middle) * (b - middle))), v["k"], v["n"])
 
     return bound(F.struct(body.alias("body"), encoding.alias("encoding")), lambda v: F.struct(v["encoding"].alias("encoding"), tests(v).alias("p")))
 
@@ -153,8 +160,8 @@ def candidates(text: Column, base: Column) -> Column:
     return F.transform(bound(F.struct(found(text, CANDIDATE).alias("runs"), base.alias("base")), free), judged)
 
 
-def ordinary(text: Column) -> Column:
-    """Array of (stratum, bin) of a text's ordinary strings: all pieces of its words, of its words with capitals and numbers, and of its numbers.
+def ordinary_pieces(text: Column) -> Column:
+    """Array of a text's ordinary strings: all pieces of its words, of its words with capitals and numbers, and of its numbers.
 
     Words are runs of up to 16 letters, numbers of up to 8 digits, so that what may be secrets is not among them.  The pieces' length
     is one of LENGTHS, dealt by the text's hash: over many texts all lengths have their share.  Pieces follow one another to the
@@ -178,30 +185,69 @@ def ordinary(text: Column) -> Column:
         long_enough = F.filter(v["all"], lambda t: F.char_length(t) >= LENGTHS[0])
         return F.flatten(F.transform(long_enough, lambda t: bound(F.struct(t.alias("t"), length(t, v["n"]).alias("n")), lambda x: cut_up(x["t"], x["n"]))))
 
+    return bound(F.struct(F.array(lower, named, shouted, numbers).alias("all"), n.alias("n")), pieces)
+
+
+def ordinary(text: Column) -> Column:
+    """Array of (stratum, bin) of a text's ordinary strings."""
     each = lambda t: bound(battery(t), lambda b: F.struct(stratum(F.char_length(t), b["encoding"]).alias("stratum"), bin_of(b["p"]).alias("bin")))
-    return F.transform(bound(F.struct(F.array(lower, named, shouted, numbers).alias("all"), n.alias("n")), pieces), each)
+    return F.transform(ordinary_pieces(text), each)
+
+
+def ordinary_strings(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(stratum, bin), a row per ordinary string of all texts: what `ordinary` gives, by compiled expressions.
+
+    The strings hold letters, digits and underscores.  Counts are what a string loses without a character; changes of half
+    are the ends of the runs of the upper half; neighbours' products need one look per character.
+    """
+    rows = docs.select(F.explode(ordinary_pieces(F.coalesce(docs[text_col], F.lit("")))).alias("s"))
+    rows = rows.select("s", encoding_of(F.col("s")).alias("encoding"))
+    t, n = F.when(F.col("encoding") == "hex", F.lower("s")).otherwise(F.replace(F.col("s"), F.lit("_"), F.lit("/"))), F.octet_length("t")
+    rows = rows.select("encoding", t.alias("t")).withColumn("n", n)
+
+    def by_encoding(f) -> Column:
+        kind = F.col("encoding")
+        return F.when(kind == "hex", f(ALPHABETS["hex"])).when(kind == "base32", f(ALPHABETS["base32"])).otherwise(f(ALPHABETS["base64"]))
+
+    def runs(alphabet: str) -> Column:
+        upper = f"[{alphabet[len(alphabet) // 2 :]}]"
+        at = lambda p: F.regexp_like("t", F.lit(p)).cast("int")
+        return (2 * F.regexp_count("t", F.lit(f"{upper}+")) - at(f"^{upper}") - at(f"{upper}$")).cast("double")
+
+    def serial(alphabet: str) -> Column:
+        places = F.array(*[F.lit(alphabet.find(chr(i)) + 1 - (len(alphabet) + 1) / 2) for i in range(1, 128)])
+        x = F.transform(F.split("t", ""), lambda c: F.element_at(places, F.ascii(c)))
+        products = bound(x, lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: a * b))
+        return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+
+    count = lambda c: (F.col("n") - F.octet_length(F.replace(F.col("t"), c, F.lit("")))).cast("double")
+    squares = F.aggregate(F.transform(F.array_distinct(F.split("t", "")), count), F.lit(0.0), lambda acc, x: acc + x * x)
+    size = by_encoding(lambda a: F.lit(float(len(a))))
+    m = rows.select("encoding", "n", size.alias("k"), squares.alias("squares"), *[by_encoding(f).alias(f.__name__) for f in (runs, serial)])
+    p = likeness(F.col("squares"), F.col("runs"), F.col("serial"), F.col("k"), F.col("n").cast("double"))
+    return m.select(stratum(F.col("n"), F.col("encoding")).alias("stratum"), bin_of(p).alias("bin"))
 
 
 def marked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, base, more, null): base spans, candidates and ordinary strings of every row."""
+    """(doc_id, base, more): base spans and candidates of every row."""
     d = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     spans = d.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     none = F.array().cast("array<struct<start:int,end:int,stratum:string,bin:int>>")
     more = F.when(F.regexp_like("text", F.lit(CANDIDATE)), candidates(F.col("text"), F.col("base"))).otherwise(none)
-    return spans.select("doc_id", "base", more.alias("more"), ordinary(F.col("text")).alias("null"))
+    return spans.select("doc_id", "base", more.alias("more"))
 
 
-def counted(strings: DataFrame, col: str) -> dict[str, dict[int, int]]:
+def counted(strings: DataFrame) -> dict[str, dict[int, int]]:
     """Numbers by stratum and bin: at most 27 x BINS rows."""
     out: dict[str, dict[int, int]] = {}
-    for r in strings.select(F.inline(F.transform(col, lambda c: F.struct(c["stratum"], c["bin"])))).toDF("stratum", "bin").groupBy("stratum", "bin").count().collect():
+    for r in strings.groupBy("stratum", "bin").count().collect():
         out.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
     return out
 
 
-def lines(marked_docs: DataFrame, q: float = Q) -> dict[str, int]:
+def lines(candidate_strings: DataFrame, ordinary_ones: DataFrame, q: float = Q) -> dict[str, int]:
     """Per stratum the last bin whose candidates are reported (-1: none)."""
-    tested, null = counted(marked_docs, "more"), counted(marked_docs, "null")
+    tested, null = counted(candidate_strings), counted(ordinary_ones)
     out = {}
     for name, bins in tested.items():
         own, (encoding, band) = dict(null.get(name, {})), name.split(":")
@@ -222,7 +268,7 @@ def lines(marked_docs: DataFrame, q: float = Q) -> dict[str, int]:
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", q: float = Q) -> DataFrame:
     """A row per document: doc_id, base and spans, arrays of (start, kind number, end) by start and kind."""
     m = cut(marked(docs, text_col, id_col))
-    last = lines(m, q)
+    last = lines(m.select(F.explode("more").alias("c")).select("c.stratum", "c.bin"), ordinary_strings(docs, text_col), q)
     most = F.create_map(*[y for k, v in last.items() for y in (F.lit(k), F.lit(v))]) if last else F.create_map().cast("map<string,int>")
     random = F.transform(F.filter("more", lambda c: c["bin"] <= most[c["stratum"]]), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return m.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))

@@ -64,3 +64,14 @@ def test_merge_clusters_come_from_one_walk(spark):
     """Rows and their clusters' numbers are read from the same kept walk."""
     plan = catalogue.hit_merge_clusters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in plan
+
+
+def test_compiled_ordinary_strings_are_those_of_the_battery(spark):
+    """Each counts once, in the stratum and bin that the candidates' battery gives it."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices(r.choice(["abcdefghijklmnopqrstuvwxyz", "abcdef", "0123456789"]), k=r.randint(1, 8)))
+    texts = [None, "", "x", *(" ".join(r.choice([w, w.capitalize()]) for w in (word() for _ in range(r.randint(1, 400)))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = df.select(F.inline(secrets.ordinary(F.coalesce("text", F.lit("")))))
+    rows = lambda d: sorted(map(tuple, d.select("stratum", "bin").collect()))
+    assert rows(secrets.ordinary_strings(df)) == rows(want) and len(rows(want)) > 500
