@@ -62,10 +62,12 @@ def merged(spark, sf_dir):
 def merged_rows(c):
     """A row per merged hit: bounds, anchor (the member nearest to the middle) and, if all members share a record, the sample window."""
     keys = [*CHANNEL, "island", "part"]
-    shape = c.groupBy(*keys).agg(F.min("start").alias("time_start"), F.max("end").alias("time_end"), F.count("*").alias("component_count"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi"), F.min("sample_start").alias("s"), F.max("sample_end").alias("e"))
+    of_cluster = Window.partitionBy(*keys)  # not a join: bounds and members come from one walk
+    c = c.withColumns({"time_start": F.min("start").over(of_cluster), "time_end": F.max("end").over(of_cluster)})
     near = F.struct(F.abs(F.col("start") + F.col("end") - F.col("time_start") - F.col("time_end")), F.col("start"), F.col("hit_id"))
     anchor = F.min_by(F.struct("hit_id", "record_id", "dt"), near).alias("a")
-    m = c.join(shape, keys).groupBy(*keys, "time_start", "time_end", "component_count", "lo", "hi", "s", "e").agg(anchor)
+    shape = [F.min("start").alias("time_start"), F.max("end").alias("time_end"), F.count("*").alias("component_count"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi"), F.min("sample_start").alias("s"), F.max("sample_end").alias("e")]
+    m = c.groupBy(*keys).agg(*shape, anchor)
     one = F.col("lo") == F.col("hi")
     window = [F.when(one, F.col(x)).otherwise(-1).alias(n) for x, n in (("s", "sample_start"), ("e", "sample_end"))]
     width = F.when(one, F.col("e") - F.col("s")).otherwise(-1).cast("double").alias("width")

@@ -66,6 +66,12 @@ def test_merge_clusters_come_from_one_walk(spark):
     assert "InMemoryTableScan" in plan
 
 
+def test_merged_rows_come_from_one_walk(spark):
+    """Bounds, counts and anchors read the same members."""
+    plan = catalogue.hit_merged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_compiled_ordinary_strings_are_those_of_the_battery(spark):
     """Each counts once, in the stratum and bin that the candidates' battery gives it."""
     r = random.Random(6)
