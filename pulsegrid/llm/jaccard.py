@@ -14,8 +14,10 @@ Near copies share most keys of their prefixes, so many keys have the same nodes.
 hash of its nodes; a node stands in it at its first place among them, which is never behind the first common token.
 
 groups() doesn't pair all candidates of a posting list.  First each member is verified against PIVOTS of its first
-PIVOT_LISTS lists, in some rounds with other ones; members that are by then in one component need no more comparison.  Only pairs of a list
-that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
+PIVOT_LISTS lists, in some rounds with other ones; members that are by then in one component need no more comparison.  From the second round
+on the lists are a node's longest ones, and to the pivots come the HUBS members with the most links so far: in a group of
+near copies those in the middle link to most others, while members without any link would take all places dealt by component.
+Only pairs of a list that still lie in different components, and pass the filters of length, position and parity, are then formed and verified,
 so no link that joins two components is lost.  links() skips the pivots and verifies every pair.
 
 The parity filter: a set has buckets by hash and a bit for each that holds an odd number of its tokens.  Where two sets'
@@ -49,7 +51,7 @@ from .common import LOWER, UPPER, arrow_batches, bounded, cut, documents, drop_c
 
 FREQUENT = 1 << 16
 SMALL = 256
-PIVOT_ROUNDS, PIVOTS = 2, 4
+PIVOT_ROUNDS, PIVOTS, HUBS = 2, 4, 16
 #: A node meets the pivots of so many of its lists, those at its first places.
 PIVOT_LISTS = 8
 HEAD = 16
@@ -345,12 +347,22 @@ def joined(ix: Index, pivot_rounds: int) -> tuple[DataFrame | None, DataFrame |
             if now.isEmpty():
                 break
         if step < pivot_rounds:
-            place = Window.partitionBy("node").orderBy("place", "key")
-            first = now.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= PIVOT_LISTS).select("key", "node", "n", "comp")
+            first = now
+            if links is None:
+                first, order = first.withColumn("hub", F.lit(0)), ["place"]
+            else:  # from the second round on the longest lists, in which most pairs are left, and each node's links so far
+                hubs = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("hub"))
+                first = first.join(now.groupBy("key").agg(F.count("*").alias("members")), "key").join(hubs, "node", "left")
+                order = [F.desc("members"), "place"]
+            place = Window.partitionBy("node").orderBy(*order, "key")
+            first = first.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= PIVOT_LISTS).select("key", "node", "n", "comp", F.coalesce("hub", F.lit(0)).alias("hub"))
             first = cut(first.join(ix.nodes.select("node", "odd"), "node"))
             # max_by keeps one row per key and task, however long the list.
-            by = [F.max_by(F.struct("node", "n", "comp", "odd"), F.xxhash64("comp" if step else "node", F.lit(step * PIVOTS + i), "node")) for i in range(PIVOTS)]
-            pivot = first.groupBy("key").agg(F.array_distinct(F.array(*by)).alias("p")).withColumn("p", F.explode("p"))
+            row, dealt = F.struct("node", "n", "comp", "odd"), F.pmod(F.xxhash64("node", F.lit(step)), F.lit(HUBS))
+            by = [F.max_by(row, F.xxhash64("comp" if step else "node", F.lit(step * PIVOTS + i), "node")) for i in range(PIVOTS)]
+            if links is not None:  # nodes in the middle of a group link to most of it, so the best linked ones of each share of a list are pivots too
+                by += [F.max_by(row, F.when((dealt == i) & (F.col("hub") > 0), F.struct("hub", "node"))) for i in range(HUBS)]
+            pivot = first.groupBy("key").agg(F.array_distinct(F.array_compact(F.array(*by))).alias("p")).withColumn("p", F.explode("p"))
             other = (F.col("p.comp") != F.col("comp")) & lengths(F.col("p.n"), F.col("n"), ix.percent) & alike(F.col("p.odd"), F.col("p.n"), F.col("odd"), F.col("n"), ix.percent)
             met = cut(first.join(pivot, "key").filter(other).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
             drop_cut(first)

@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import wave
-from pulsegrid.llm import secrets
+from pulsegrid.llm import common, jaccard, secrets
 from pulsegrid.operators import clusters, pairs
 from pulsegrid.plans import catalogue
 
@@ -81,3 +81,29 @@ def test_compiled_ordinary_strings_are_those_of_the_battery(spark):
     want = df.select(F.inline(secrets.ordinary(F.coalesce("text", F.lit("")))))
     rows = lambda d: sorted(map(tuple, d.select("stratum", "bin").collect()))
     assert rows(secrets.ordinary_strings(df)) == rows(want) and len(rows(want)) > 500
+
+
+def test_few_pairs_are_left_to_the_last_join_of_a_group_of_near_copies(spark, monkeypatch):
+    """Near copies link through those in the group's middle; many outer ones link to nothing and must not take all places of pivots."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    edited = lambda n: " ".join(r.choice("xyz") + str(r.random()) if i in at else w for at in [set(r.sample(range(150), n))] for i, w in enumerate(base))
+    texts = [edited(n) for n in [*[1] * 40, *[2] * 300, *[6] * 500]]
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = []
+    whole = jaccard.all_pairs
+    monkeypatch.setattr(jaccard, "all_pairs", lambda ix, now: left.append(common.cut(whole(ix, now))) or left[-1])
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.groups(df, k=5, percent=80).collect()}
+    sets = [jaccard.shingles(t, 5, jaccard.Powers()) for t in texts]
+    want = list(range(len(texts)))
+    links = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            same = jaccard.common(sets[a], sets[b])
+            if 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                links += 1
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert got == dict(enumerate(want))
+    assert sum(d.count() for d in left) * 20 < links
