@@ -44,6 +44,8 @@ Q = 0.05
 BINS = 512
 #: A stratum with fewer ordinary strings takes those of the next shorter ones too: they look more random, so the control stays safe.
 LEAST_ORDINARY = 200
+#: Over the sum of the products of a string's letter numbers.
+HIGH = float(1 << 20)
 LENGTHS = (20, 24, 32, 40, 48, 64, 96, 128)
 
 
@@ -98,15 +100,19 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 0.07056 * z * z * z + 1.5976 * z)))
 
 
-def likeness(squares: Column, runs: Column, serial: Column, k: Column, n: Column) -> Column:
-    """Chance of a random string of n characters of k to look less random: sum of squared counts, changes of half, products of neighbours about the middle."""
+def far_off(squares: Column, runs: Column, serial: Column, k: Column, n: Column) -> Column:
+    """How far n >= 2 characters of k are off a random string, as a normal value: sum of squared counts, changes of half, products of neighbours about the middle."""
     chi = ((k / n * squares - n) - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
     z_runs = (runs - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     z_serial = serial / ((k * k - 1) / 12 * F.sqrt(n - 1))
     # Too uneven counts, too few or too many runs, and correlation of either sign speak against randomness.
     stat = F.pow(F.greatest(F.lit(0.0), chi), 2.0) + F.pow(z_runs, 2.0) + F.pow(z_serial, 2.0)
-    wilson = (F.cbrt(stat / 3) - (1 - 2 / 27)) / (2 / 27) ** 0.5
-    return F.when(n >= 2, normal_tail(wilson)).otherwise(0.0)  # nothing but padding is not random
+    return (F.cbrt(stat / 3) - (1 - 2 / 27)) / (2 / 27) ** 0.5
+
+
+def likeness(squares: Column, runs: Column, serial: Column, k: Column, n: Column) -> Column:
+    """Chance of a random string to look less random."""
+    return F.when(n >= 2, normal_tail(far_off(squares, runs, serial, k, n))).otherwise(0.0)  # nothing but padding is not random
 
 
 def encoding_of(s: Column) -> Column:
@@ -160,9 +166,11 @@ def candidates(text: Column, base: Column) -> Column:
     return F.transform(bound(F.struct(found(text, CANDIDATE).alias("runs"), base.alias("base")), free), judged)
 
 
-def ordinary_pieces(text: Column) -> Column:
+def ordinary_pieces(text: Column, capitals: bool = True) -> Column:
     """Array of a text's ordinary strings: all pieces of its words, of its words with capitals and numbers, and of its numbers.
 
+    Words are there in lower case and (unless `capitals` is false) in capitals, cut alike.
+
     Words are runs of up to 16 letters, numbers of up to 8 digits, so that what may be secrets is not among them.  The pieces' length
     is one of LENGTHS, dealt by the text's hash: over many texts all lengths have their share.  Pieces follow one another to the
     text's end; the last one ends there.  Strings shorter than a piece are cut to the longest of LENGTHS that they hold.
@@ -185,7 +193,7 @@ def ordinary_pieces(text: Column) -> Column:
         long_enough = F.filter(v["all"], lambda t: F.char_length(t) >= LENGTHS[0])
         return F.flatten(F.transform(long_enough, lambda t: bound(F.struct(t.alias("t"), length(t, v["n"]).alias("n")), lambda x: cut_up(x["t"], x["n"]))))
 
-    return bound(F.struct(F.array(lower, named, shouted, numbers).alias("all"), n.alias("n")), pieces)
+    return bound(F.struct(F.array(lower, named, *[shouted] * capitals, numbers).alias("all"), n.alias("n")), pieces)
 
 
 def ordinary(text: Column) -> Column:
@@ -198,12 +206,14 @@ def ordinary_strings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(stratum, bin), a row per ordinary string of all texts: what `ordinary` gives, by compiled expressions.
 
     The strings hold letters, digits and underscores.  Counts are what a string loses without a character; changes of half
-    are the ends of the runs of the upper half; neighbours' products need one look per character.
+    are the ends of the runs of the upper half; neighbours' products need one look per character.  Words in lower case and in
+    capitals are measured once: their counts are the same, and their products differ by what the neighbours' sums give, for
+    which a letter's number is raised by HIGH: one sum of products then holds the sum of the numbers in its higher part.
     """
-    rows = docs.select(F.explode(ordinary_pieces(F.coalesce(docs[text_col], F.lit("")))).alias("s"))
-    rows = rows.select("s", encoding_of(F.col("s")).alias("encoding"))
-    t, n = F.when(F.col("encoding") == "hex", F.lower("s")).otherwise(F.replace(F.col("s"), F.lit("_"), F.lit("/"))), F.octet_length("t")
-    rows = rows.select("encoding", t.alias("t")).withColumn("n", n)
+    rows = docs.select(F.explode(ordinary_pieces(F.coalesce(docs[text_col], F.lit("")), capitals=False)).alias("s"))
+    rows = rows.select("s", encoding_of(F.col("s")).alias("encoding"), F.regexp_like("s", F.lit("^[a-z]+$")).alias("letters"))
+    t = F.when(F.col("encoding") == "hex", F.lower("s")).otherwise(F.replace(F.col("s"), F.lit("_"), F.lit("/")))
+    rows = rows.select("encoding", "letters", t.alias("t"), F.octet_length(t).alias("n"))
 
     def by_encoding(f) -> Column:
         kind = F.col("encoding")
@@ -214,18 +224,39 @@ def ordinary_strings(docs: DataFrame, text_col: str = "text") -> DataFrame:
         at = lambda p: F.regexp_like("t", F.lit(p)).cast("int")
         return (2 * F.regexp_count("t", F.lit(f"{upper}+")) - at(f"^{upper}") - at(f"{upper}$")).cast("double")
 
-    def serial(alphabet: str) -> Column:
-        places = F.array(*[F.lit(alphabet.find(chr(i)) + 1 - (len(alphabet) + 1) / 2) for i in range(1, 128)])
+    def neighbours(place) -> Column:
+        """Sum of the products of neighbours' places."""
+        places = F.array(*[F.lit(float(place(chr(i)))) for i in range(1, 128)])
         x = F.transform(F.split("t", ""), lambda c: F.element_at(places, F.ascii(c)))
         products = bound(x, lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: a * b))
         return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
 
+    def serial(alphabet: str) -> Column:
+        return neighbours(lambda c: alphabet.find(c) + 1 - (len(alphabet) + 1) / 2)
+
     count = lambda c: (F.col("n") - F.octet_length(F.replace(F.col("t"), c, F.lit("")))).cast("double")
     squares = F.aggregate(F.transform(F.array_distinct(F.split("t", "")), count), F.lit(0.0), lambda acc, x: acc + x * x)
-    size = by_encoding(lambda a: F.lit(float(len(a))))
-    m = rows.select("encoding", "n", size.alias("k"), squares.alias("squares"), *[by_encoding(f).alias(f.__name__) for f in (runs, serial)])
-    p = likeness(F.col("squares"), F.col("runs"), F.col("serial"), F.col("k"), F.col("n").cast("double"))
-    return m.select(stratum(F.col("n"), F.col("encoding")).alias("stratum"), bin_of(p).alias("bin"))
+    numbered = neighbours(lambda c: HIGH + ord(c) - ord("a") + 1)
+    # Words in capitals are base32 where those in lower case are base64; both are hex alike.
+    capitals = F.when(F.col("letters"), F.when(F.col("encoding") == "hex", F.col("runs")).otherwise(runs(ALPHABETS["base32"].lower())))
+    m = rows.withColumns({"squares": squares, "near": F.when(F.col("letters"), numbered).otherwise(by_encoding(serial)), "runs": by_encoding(runs)})
+    both = F.col("near") - (F.col("n") - 1) * HIGH * HIGH
+    m = m.withColumns({"runs_of_capitals": capitals, "sums": F.floor(both / HIGH).cast("double")}).withColumn("products", both - F.col("sums") * HIGH)
+    other = F.when(F.col("encoding") == "hex", "hex").otherwise("base32")
+    each = lambda encoding, runs: F.struct(encoding.alias("encoding"), runs.alias("runs"))
+    own, second = each(F.col("encoding"), F.col("runs")), each(other, F.col("runs_of_capitals"))
+    m = m.select("letters", "n", "squares", "near", "sums", "products", F.explode(F.when(F.col("letters"), F.array(own, second)).otherwise(F.array(own))).alias("o"))
+    m = m.select("letters", "n", "squares", "near", "sums", "products", "o.encoding", "o.runs")
+    # Where a word's letters begin in the alphabet, from its middle.
+    m = m.withColumn("middle", by_encoding(lambda a: F.lit((len(a) + 1) / 2 - a.find("a" if "a" in a else "A"))))
+    middle = F.col("middle")
+    lag = F.when(F.col("letters"), F.col("products") - middle * F.col("sums") + (F.col("n") - 1) * middle * middle).otherwise(F.col("near"))
+    # Spark puts a stage's steps into one method, and one that is too long is never compiled.  So `k` and `lag` are columns, and the
+    # stratum goes through bound(), whose kind of function keeps a step to itself.
+    m = m.select("encoding", "n", "squares", "runs", by_encoding(lambda a: F.lit(float(len(a)))).alias("k"), lag.alias("lag"))
+    z = far_off(F.col("squares"), F.col("runs"), F.col("lag"), F.col("k"), F.col("n").cast("double"))
+    m = m.select(bound(F.col("n"), lambda n: stratum(n, F.col("encoding"))).alias("stratum"), z.alias("z"))
+    return m.select("stratum", bin_of(normal_tail(F.col("z"))).alias("bin"))
 
 
 def marked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
